@@ -3,15 +3,18 @@ SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from . import media, mixing, url_filter
+from . import decontaminate, html_extract, media, mixing, url_filter
 
 QUERIES = {
     "op5_media_columns": media.op5_media_columns,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
+    "op6_decontaminate": decontaminate.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
