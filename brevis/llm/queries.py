@@ -3,9 +3,10 @@ SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, media, mixing, url_filter
+from . import decontaminate, html_extract, language_id, media, mixing, url_filter
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op5_media_columns": media.op5_media_columns,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_html_extract": html_extract.op7_html_extract,
