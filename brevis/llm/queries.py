@@ -3,10 +3,11 @@ SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, media, mixing, url_filter
+from . import decontaminate, html_extract, language_id, media, mixing, ngram_join, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_media_columns": media.op5_media_columns,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_html_extract": html_extract.op7_html_extract,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
