@@ -3,7 +3,7 @@ SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, media, mixing, ngram_join, url_filter
+from . import decontaminate, html_extract, language_id, media, mixing, ngram_join, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media_columns": media.op5_media_columns,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_html_extract": html_extract.op7_html_extract,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_source_mix": mixing.op9_source_mix,
     "op10_url_filter": url_filter.op10_url_filter,
 }
