@@ -13,7 +13,9 @@ make differing sets agree on some part that is not empty: with d differences, at
 most d parts differ.  A signature is (band, part, the set's content of the
 part), PartEnum with one part to a subset.  Of a set's signatures in a random
 but common order the first d + 1 suffice: a set that agrees with it in all but d
-of its parts must share one of them.  A set with d or fewer parts that are not
+of its parts must share one of them.  The order is rare content first, by a table
+of shingle counts of a fixed size, so that passages that many documents share
+seldom sign.  A set with d or fewer parts that are not
 empty, for which this proves nothing, also signs with its single shingles, the
 finest partition, of which a quarter plus one suffice.
 
@@ -47,6 +49,8 @@ PERCENT = 75
 RATIO = 4
 #: Bits of the fixed-size filter that spares sets without a candidate (8 MB).
 FILTER_BITS = 1 << 26
+#: Shingles are counted by the low bits of their hash, in a table of 2 MB.
+COUNTERS = 1 << 18
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +69,9 @@ def parts_of_band(band: np.ndarray) -> np.ndarray:
     return np.maximum(16, 2 * RATIO**band)
 
 
-def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature, for all rows' sorted sets one after the other."""
+def signatures(h: np.ndarray, count: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature, for all rows' sorted sets one after the other; ``seen``
+    counts shingles by their low bits."""
     n = len(count)
     first = np.cumsum(count) - count
     m = count.astype(np.int64)
@@ -76,6 +81,7 @@ def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rows, found = [], []
     weak = np.zeros(n, bool)
     mixed = mix(h)
+    common = seen[(h & U(COUNTERS - 1)).astype(np.int64)]
     for step in (0, 1):
         at = band + step
         largest = np.minimum(4 * m // 3, RATIO ** (at + 1) - 1)
@@ -94,7 +100,7 @@ def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
         content = np.add.reduceat(mixed[pos], start)
         owner = row[start]
         sign = mix(content ^ (part[start] * U(0x9E3779B97F4A7C15)) ^ mix(at[owner].astype(U) + U(1)))
-        owner, sign = _first(owner, sign, differ + 1, n)
+        owner, sign = _first(owner, sign, np.maximum.reduceat(common[pos], start), differ + 1, n)
         rows.append(owner)
         found.append(sign)
         weak[take] |= np.bincount(row[start], minlength=n)[take] <= differ[take]
@@ -103,7 +109,7 @@ def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
         size = m[take]
         row = np.repeat(take, size)
         pos = np.repeat(first[take] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        owner, sign = _first(row, mix(h[pos] ^ U(0xD6E8FEB86659FD93)), m - -(-3 * m // 4) + 1, n)
+        owner, sign = _first(row, mix(h[pos] ^ U(0xD6E8FEB86659FD93)), common[pos], m - -(-3 * m // 4) + 1, n)
         rows.append(owner)
         found.append(sign)
     if not rows:
@@ -111,9 +117,9 @@ def signatures(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _first(owner: np.ndarray, sign: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least ``most[row]`` signatures of each row."""
-    order = np.lexsort((sign, owner))
+def _first(owner: np.ndarray, sign: np.ndarray, common: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``most[row]`` signatures of each row, rare ones before common ones."""
+    order = np.lexsort((sign, common, owner))
     owner, sign = owner[order], sign[order]
     count = np.bincount(owner, minlength=n)
     rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
@@ -134,8 +140,28 @@ def _node_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long")
 
 
+def _shingle_counts(texts: DataFrame) -> np.ndarray:
+    """Over all sets, the number of shingles with each value of the low bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for a, b in pieces(offsets):
+                h, _, _ = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total += np.bincount((h & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
 def _signature_table(texts: DataFrame) -> DataFrame:
     """(sign, node): a list of signatures for each set, once a task."""
+    counts = texts.sparkSession.sparkContext.broadcast(_shingle_counts(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,7 +176,7 @@ def _signature_table(texts: DataFrame) -> DataFrame:
                         seen.add(key)
                         fresh[i] = True
                 h, count, node = h[np.repeat(fresh, count)], count[fresh], node[fresh]
-                owner, sign = signatures(h, count)
+                owner, sign = signatures(h, count, counts.value)
                 order = np.argsort(owner, kind="stable")
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists(sign[order].view(np.int64), np.bincount(owner, minlength=len(count)), pa.int64())], names=["node", "signs"])
 
