@@ -161,6 +161,20 @@ def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str =
     )
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, rounded to
+    whole documents (a half counts up); rows without words don't take part, and
+    rows with one doc_id and text are taken equally often, as the most taken.
+
+    The mix works on sizes; its decisions then meet the rows once."""
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    taken = mix(keyed, ["doc_id", "_text"]).where("size > 0")
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))
+    decided = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).agg(F.max(times).alias("_times")).where("_times > 0")
+    found = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
+    return found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+
+
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), ["doc_id"])
 

@@ -3,10 +3,11 @@ SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, line_dedup, media, mixing, ngram_join, suffix_dedup, url_filter
+from . import decontaminate, html_extract, language_id, line_dedup, media, mixing, ngram_join, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_media_columns": media.op5_media_columns,
