@@ -1,0 +1,87 @@
+"""Text expressions against Python's own string methods, and small cases."""
+
+from pyspark.sql import functions as F
+
+from brevis.functions import text as T
+from brevis.operators import corpus
+
+ODD = ["", " ", "a", " a  b ", "a b", "x\x1cy\x85z", " lead", "a\nb\r\n c\t", "æ😀 ø", "@@ a", "..."]
+
+
+def rows(spark, values, **columns):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x string")
+    return [r.asDict() for r in df.select("i", *[c.alias(k) for k, c in columns.items()]).orderBy("i").collect()]
+
+
+def test_white_space_is_pythons(spark):
+    x = F.col("x")
+    got = rows(spark, ODD, tokens=T.ws_tokens(x), strip=T.strip(x), pieces=T.space_length(x), norm=T.normalize_space(x), size=F.length(x))
+    for v, r in zip(ODD, got):
+        assert r["tokens"] == v.split()
+        assert r["strip"] == v.strip()
+        assert r["pieces"] == len(v.split(" "))
+        assert r["norm"] == " ".join(v.split())
+        assert r["size"] == len(v)
+
+
+def test_sentences_and_ngrams(spark):
+    x = F.col("x")
+    got = rows(spark, ["One. Two!  Three?\nno end", "", "a.b c"], s=T.sentences(x), long=T.sentences(x, 5), grams=T.ngrams(T.rouge_tokens(x), 2))
+    assert got[0]["s"] == ["One.", "Two!", "Three?", "no end"]
+    assert got[0]["long"] == ["Three?", "no end"]
+    assert got[0]["grams"] == ["one two", "two three", "three no", "no end"]
+    assert got[1]["s"] == [] and got[1]["grams"] == []
+    assert got[2]["s"] == ["a.b c"]
+
+
+def test_word_chunks(spark):
+    got = rows(spark, ["a b c d e", "", "a"], c=T.word_chunks(F.col("x"), 2))
+    assert [r["c"] for r in got] == [[["a", "b"], ["c", "d"], ["e"]], [], [["a"]]]
+
+
+def test_lines_by_length(spark):
+    lines = ["x" * 10, "y" * 11, "z" * 199, ("w" * 120 + ". ") * 2, "(12)  numbered line"]
+    got = rows(spark, ["\n".join(lines)], s=corpus.line_sentences(F.col("x")))[0]["s"]
+    assert got == ["y" * 11, "z" * 199, "w" * 120 + ".", "w" * 120 + ".", "numbered line"]
+
+
+def test_chapters_and_quick_fix(spark):
+    x = F.col("x")
+    got = rows(spark, ["(7) A\n(8) B\n\n***C"], c=corpus.chapters(x), q=corpus.quick_fix(F.array(x)))[0]
+    assert got["c"] == [["A", "B"], ["C"]]
+    assert rows(spark, ["a.b"], q=corpus.quick_fix(F.array(x)))[0]["q"] == ["a.", "b."]
+    assert rows(spark, ["a."], q=corpus.quick_fix(F.array(x)))[0]["q"] == ["a.", "."]
+
+
+def test_basic_values(spark):
+    from brevis.plans.config import basic
+
+    values = [" 12 ", "-3", "0.5", "1e3", "True", "false", "text ", "", "1_0"]
+    got = rows(spark, values, **T.basic_value(F.col("x")))
+    for v, r in zip(values, got):
+        want = basic(v)
+        assert r["kind"] == type(want).__name__
+        assert r["as_text"] == v.strip()
+        if r["kind"] != "str":
+            assert r[f"as_{r['kind']}"] == want
+
+
+def test_exact_split_sizes(spark):
+    for n, sizes in ((10, (7, 1, 2)), (13, (9, 1, 3)), (0, (0, 0, 0))):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        got = {r["split"]: r["n"] for r in corpus.split(df, "k").groupBy("split").agg(F.count("*").alias("n")).collect()}
+        assert tuple(got.get(s, 0) for s in ("train", "val", "test")) == sizes
+    assert corpus.sample(spark.range(10).toDF("k"), "k", 0.35).count() == 3
+    assert sorted(r["k"] for r in corpus.head(spark.range(100).toDF("k"), "k", 50).collect()) == [0, 1]
+
+
+def test_histogram_closes_the_last_bin(spark):
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 9, 10)], "v double")
+    got = {r["bin"]: r["n"] for r in corpus.histogram(df, F.col("v"), 10).collect()}
+    assert got == {1: 1, 2: 1, 10: 2}
+
+
+def test_text_kind(spark):
+    values = ['["a"]', '{"K": {}}', '"s"', "not json"]
+    got = rows(spark, values, k=corpus.text_kind(F.col("x")))
+    assert [r["k"] for r in got] == ["list", "chapters", "other", "other"]
