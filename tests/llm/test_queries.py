@@ -1,0 +1,88 @@
+"""Queries against their SQL, and the pipeline against a brute-force version."""
+
+import collections
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from brevis.llm import decontaminate, language_id, mixing, queries
+from brevis.llm.common import cut
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    return con
+
+
+def table(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(columns), sorted(repr(tuple(float(r[i]) if isinstance(r[i], int) and not isinstance(r[i], bool) else r[i] for i in order)) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, db, name):
+    df = queries.QUERIES[name](spark, DATA)
+    result = db.execute(queries.ORACLES[name])
+    assert table(df.columns, map(tuple, df.collect())) == table([d[0] for d in result.description], result.fetchall())
+
+
+def test_pipeline(spark):
+    """Stage by stage, each on what the stage before it kept."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "ngram_join", "decontaminate", "mix", "shard"]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = cut(stage(spark, docs, DATA), name)
+        if name != "shard":
+            assert out.columns == docs.columns
+        kept[name] = collections.Counter(r["doc_id"] for r in out.collect())
+        before, docs = docs, out
+        if name == "language_id":
+            model = language_id.train(before)
+            want = {r["doc_id"] for r in before.collect() for j in [model.judge(r["text"])] if j[0] != "und" and j[2] <= language_id.MOST_PHRASES}
+            assert set(kept[name]) == want
+        if name == "ngram_join":
+            from test_operators import brute_components
+
+            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
+            assert set(kept[name]) == {c for _, _, c in brute_components(rows)}
+        if name == "decontaminate":
+            from test_operators import brute_contained
+
+            items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+            found = {x[0] for x in brute_contained([(r["doc_id"], r["text"]) for r in before.collect()], items)}
+            assert set(kept[name]) == {r["doc_id"] for r in before.collect()} - found
+        if name == "mix":
+            taken = {r["doc_id"]: (2 * r["taken"] + r["size"]) // (2 * r["size"]) for r in mixing.mix(before, ["doc_id"]).collect() if r["size"]}
+            assert kept[name] == collections.Counter({k: n for k, n in taken.items() if n})
+    assert kept["shard"] == kept["mix"]
+
+
+def test_media_query_is_deterministic(spark):
+    a, b = (sorted(map(tuple, queries.QUERIES["op5_media_columns"](spark, DATA).collect())) for _ in range(2))
+    assert a == b
+
+
+def test_decontamination_paths_agree(spark):
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    a, b = (sorted(map(tuple, decontaminate.find_items(docs, items, broadcast_shingles=n).collect())) for n in (10**9, 0))
+    assert a == b and a
+
+
+def test_suffix_dedup_query(spark):
+    from test_operators import brute_removed
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where(F.length("text") < 4000).select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    from brevis.llm import suffix_dedup
+
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(docs).collect()), key=str)
+    assert got == brute_removed(rows)
