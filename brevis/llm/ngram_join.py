@@ -21,10 +21,15 @@ finest partition, of which a quarter plus one suffice.
 
 Sets are identified by a 64-bit hash, so exact copies are one node and sign once
 a task.  Nodes that share a signature meet in two rounds.  First each node is
-paired with the least node of each of its signatures, and the pairs are verified
-by exact intersection; the links' components are found.  Then, in signatures
-that still hold several components, all pairs across components are verified.
-After that every pair that shares a signature is either verified or in one
+paired with its signatures' hubs (a signature's hub is the node whose signatures
+are shared most), so that variants of one text meet through it; the pairs are
+verified by exact intersection and the links' components found.  Then, in
+signatures that still hold several components, nodes of different components are
+compared, block by block, so that a task holds two blocks of ``BLOCK`` nodes at
+most of a signature that many share.  In both rounds a parity sketch decides first: each set keeps a bit a
+bucket, the parity of its elements there, and two sets whose sketches differ in
+more bits than their sets may differ in elements don't become a pair.  After
+that every pair that shares a signature is verified, excluded or in one
 component, so the components are exact.  Nothing is collected or cut off.
 
 Defined results: repeated rows are copies; a null text has an empty set; a null
@@ -51,6 +56,9 @@ RATIO = 4
 FILTER_BITS = 1 << 26
 #: Shingles are counted by the low bits of their hash, in a table of 2 MB.
 COUNTERS = 1 << 18
+SKETCH_BITS = 1024
+#: Nodes of one signature that are compared with each other in a task, about.
+BLOCK = 1024
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,6 +73,13 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, count, node
 
 
+def sketches(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The parity sketches of the rows' sets, SKETCH_BITS / 64 integers each."""
+    cell = np.repeat(np.arange(len(count)), count) * SKETCH_BITS + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & U(SKETCH_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(count) * SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def parts_of_band(band: np.ndarray) -> np.ndarray:
     return np.maximum(16, 2 * RATIO**band)
 
@@ -128,16 +143,20 @@ def _first(owner: np.ndarray, sign: np.ndarray, common: np.ndarray, most: np.nda
 
 
 def _node_table(texts: DataFrame) -> DataFrame:
-    """(doc, n_shingles, node) for each row."""
+    """(doc, n_shingles, node, sketch) for each row; a sketch once a task and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in pieces(offsets):
-                _, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64))], names=["doc", "n_shingles", "node"])
+                h, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                fresh = np.array([n > 0 and x not in seen and not seen.add(x) for n, x in zip(count.tolist(), node.tolist())], bool)
+                sizes = np.where(fresh, SKETCH_BITS // 64, 0)
+                sketch = lists(sketches(h[np.repeat(fresh, count)], count[fresh]), sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64)), sketch], names=["doc", "n_shingles", "node", "sketch"])
 
-    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long")
+    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long, sketch array<long>")
 
 
 def _shingle_counts(texts: DataFrame) -> np.ndarray:
@@ -215,7 +234,14 @@ def _set_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _near(a: Column, b: Column) -> Column:
     """Whether sizes a and b allow a link."""
-    return (F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b))
+    return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
+
+
+def _may_link(a: str, b: str) -> Column:
+    """Whether sizes ``{a}_m`` and sketches ``{a}_s`` allow a link.  A bit of the
+    sketches differs only if some element of its bucket is in one set alone."""
+    apart = F.aggregate(F.zip_with(f"{a}_s", f"{b}_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return _near(F.col(f"{a}_m"), F.col(f"{b}_m")) & (7 * apart <= F.col(f"{a}_m") + F.col(f"{b}_m"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,36 +252,90 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_near(F.size("a_items"), F.size("b_items"))).where(100 * both >= PERCENT * (total - both)).select("a", "b")
 
 
+def _across(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may link, of nodes that share a signature and are of
+    different components, from rows (sign, node, c, m, s)."""
+
+    def pairs(node, c, m, s, block, i, j) -> tuple[np.ndarray, np.ndarray]:
+        left = np.flatnonzero(block == i)
+        right = left if i == j else np.flatnonzero(block == j)
+        found = []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            apart = np.bitwise_count(s[x, None] ^ s[None, right]).sum(2, dtype=np.int64)
+            small, large = np.minimum(m[x, None], m[None, right]), np.maximum(m[x, None], m[None, right])
+            ok = (7 * apart <= small + large) & (100 * small >= PERCENT * large) & (c[x, None] != c[None, right])
+            u, v = np.nonzero(ok)
+            u, v = node[x[u]], node[right[v]]
+            found.append((np.minimum(u, v), np.maximum(u, v)))
+        a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["sign", "i", "j", "node", "c", "m", "block"], None
+
+        def settle(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+            found = [pairs(*(rows[k][x:y] for k in ("node", "c", "m", "s", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1], starts[1:])]
+            a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            rows["s"] = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(U).reshape(-1, SKETCH_BITS // 64)
+            if held is not None:
+                rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
+            n = len(rows["sign"])
+            if not n:
+                continue
+            new = np.ones(n, bool)
+            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("sign", "i", "j")], axis=0)
+            starts = np.flatnonzero(new)
+            yield settle(rows, starts)  # all groups but the last, which may go on
+            held = {k: v[starts[-1] :] for k, v in rows.items()}
+        if held is not None and len(held["sign"]):
+            yield settle(held, np.array([0, len(held["sign"])]))
+
+    n = placed.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(n, "sign").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # block x of k takes part in k pairs of blocks, (least, greatest)
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sign", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", "s")
+    return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id for every row of ``docs``."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     nodes = cut(_node_table(texts), "nodes")
     sizes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("n_shingles").alias("m"))
+    facts = nodes.where("size(sketch) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("m"), F.col("sketch").alias("s"))
 
     same = Window.partitionBy("sign")
-    shared = _signature_table(texts).withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).where("lo != hi").select("sign", "node", "lo")
-    shared = cut(shared.distinct(), "shared")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        left, right = (sizes.select(F.col("node").alias(x), F.col("m").alias(f"{x}_m")) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").where(_near(F.col("a_m"), F.col("b_m"))).select("a", "b")
-
-    def verified(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        pairs = cut(sized(pairs.distinct()), f"{name}_pairs")
+    shared = _signature_table(texts).withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).withColumn("n", F.count("*").over(same)).where("lo != hi").select("sign", "node", "n")
+    shared = cut(shared, "shared")
+    rank = shared.groupBy("node").agg(F.sum("n").alias("rank"))
+    ranked = shared.select("sign", "node").join(rank, "node")
+    hubs = ranked.groupBy("sign").agg(F.max(F.struct("rank", "node")).alias("hub")).select("sign", F.col("hub.node").alias("hub"))
+    first = shared.join(hubs, "sign").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+    def side(x: str) -> DataFrame:
+        return facts.select(F.col("node").alias(x), F.col("m").alias(f"{x}_m"), F.col("s").alias(f"{x}_s"))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(pairs, f"{name}_pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return pairs, cut(_linked(pairs, _set_table(texts, wanted)), f"{name}_links")
+        return cut(_linked(pairs, _set_table(texts, wanted)), f"{name}_links")
 
-    pairs, links = verified(shared.where("node != lo").select(F.col("lo").alias("a"), F.col("node").alias("b")), "first")
+    likely = first.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b")).select("a", "b")
+    links = verified(likely, "first")
     known = cut(components(links), "known")
 
-    # signatures that still hold several components: all pairs across them
+    # signatures that still hold several components: across them
     placed = shared.select("sign", "node").join(known, "node", "left").select("sign", "node", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("sign").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("sign")
-    placed = cut(placed.join(mixed, "sign", "left_semi").join(sizes.select("node", "m"), "node"), "placed")
-    left, right = (placed.select("sign", *[F.col(k).alias(f"{x}{s}") for k, s in (("node", ""), ("c", "_c"), ("m", "_m"))]) for x in "ab")
-    across = left.join(right, "sign").where("a < b and a_c != b_c").where(_near(F.col("a_m"), F.col("b_m"))).select("a", "b").distinct()
-    _, more = verified(across.join(pairs, ["a", "b"], "left_anti"), "second")
-    found = components(links.unionByName(more))
+    several = placed.groupBy("sign").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("sign")
+    placed = cut(placed.join(several, "sign", "left_semi").distinct(), "placed")
+    found = components(links.unionByName(verified(_across(placed.join(facts, "node")), "second")))
 
     # a component's id is the least doc of its nodes; a node's, the least of its copies
     named = sizes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))

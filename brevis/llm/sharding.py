@@ -37,6 +37,8 @@ from .common import documents, drop_path, hadoop_path, shared_dir
 TARGET_BYTES = 64 << 20
 FANOUT = 4
 MIN_BYTES = 1 << 16  # the lowest tier ends here
+#: A manifest of so many shards (about 10 MB of names) is sent to every task that reads.
+BROADCAST_SHARDS = 100_000
 #: Shares of the table that the query lets arrive one after the other, in eighths.
 ARRIVALS = ((0, 1, 2, 3), (4, 5), (6, 7))
 
@@ -207,6 +209,8 @@ class ShardStore:
         schema = StructType.fromJson(json.loads(m.schema))
         facts = self.spark.createDataFrame([(s.path.rsplit("/", 1)[1], f"{i:08d}", s.rows, s.size) for i, s in enumerate(m.shards)], "_name string, shard string, shard_rows long, shard_bytes long")
         rows = self._frame(m.shards, schema).withColumn("_name", F.col("_metadata.file_name")) if m.shards else self.spark.createDataFrame([], schema).withColumn("_name", F.lit(""))
+        if len(m.shards) <= BROADCAST_SHARDS:
+            facts = F.broadcast(facts)
         return rows.join(facts, "_name").drop("_name").withColumn("version", F.lit(m.version).cast("long"))
 
 
