@@ -6,9 +6,11 @@ phrase start the automaton is walked as far as it goes.  The language that needs
 the fewest phrases a character, weighed by log2 of its training length (the bits
 of a phrase's address), wins; ties go to the first language by code point.
 
-Texts are lower-cased and read as words (runs of letters) between single spaces,
-and a phrase ends with its word at the latest, so that a word's phrase count is
-worked out once and kept.  Whole texts are read.
+Texts are lower-cased and read as words (runs of letters, cut after ``WORD_CHARS``)
+between single spaces, and a phrase ends with its word at the latest, so that a
+word's phrase count is worked out once and kept.  Whole texts are read; the words
+of a few hundred texts that aren't kept yet walk the automata together, a letter
+a step.
 
 Training takes a bounded sample: about ``SAMPLE_DOCS`` labelled rows of each
 language, spread by a hash of doc_id, ``SAMPLE_CHARS`` characters of each and
@@ -35,14 +37,16 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 160, 4000, 120_000
-#: Words kept with their phrase counts by one worker; longer words are parsed anew.
-MEMO_WORDS, MEMO_CHARS = 400_000, 48
+WORD_CHARS = 48
+#: Words that one worker keeps with their phrase counts.
+MEMO_WORDS = 250_000
 #: More phrases a character than this: the text is in none of the languages.
 MOST_PHRASES = 0.7
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_CHARS)
 STATE = 1 << 21  # above every code point
 FIELD = 48  # bits of a packed count
+TEXTS = 256  # judged together
 
 
 def suffix_automaton(text: str) -> dict[int, int]:
@@ -76,68 +80,86 @@ def suffix_automaton(text: str) -> dict[int, int]:
     return {s * STATE + c: t for s, out in enumerate(moves) for c, t in out.items()}
 
 
-def phrases(moves: dict[int, int], codes: list[int]) -> int:
-    """How many longest matches a greedy parse needs; an unknown character is one."""
-    get, found, state = moves.get, 0, 0
-    for c in codes:
-        to = get(state * STATE + c)
-        if to is None:
-            if state:
-                found += 1
-                state = get(c, 0)
-                if not state:
-                    found += 1
-            else:
-                found += 1
-        else:
-            state = to
-    return found + (state > 0)
-
-
-class Memo(dict):
-    """word -> its phrase counts in all languages and its length, packed in one integer."""
-
-    def __init__(self, automata: list[dict[int, int]]):
-        super().__init__()
-        self.automata = automata
-
-    def __missing__(self, word: str) -> int:
-        codes = [32, *map(ord, word), 32]
-        value = len(codes) - 1
-        for moves in reversed(self.automata):
-            value = value << FIELD | phrases(moves, codes)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = value
-        return value
+class Automaton:
+    """An automaton's transitions as sorted arrays: 12 bytes each."""
+
+    def __init__(self, moves: dict[int, int]):
+        keys = np.fromiter(moves.keys(), np.int64, len(moves))
+        order = np.argsort(keys)
+        self.keys, self.to = keys[order], np.fromiter(moves.values(), np.int32, len(moves))[order]
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is no transition (none leads to the start)."""
+        key = state * STATE + codes
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0).astype(np.int64)
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """How many longest matches a greedy parse of each word between spaces
+        needs; an unknown character is one."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        order = np.argsort(-size, kind="stable")
+        codes = np.frombuffer("".join(f" {words[i]} " for i in order).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = size[order]
+        begin = np.cumsum(size) - size
+        state, found = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for t in range(int(size[0]) if len(words) else 0):
+            live = int(np.searchsorted(-size, -t, "left"))
+            c, now = codes[begin[:live] + t], state[:live]
+            to = self.step(now, c)
+            ended = np.flatnonzero(to == 0)
+            if len(ended):
+                found[ended] += now[ended] > 0
+                again = np.where(now[ended] > 0, self.step(np.zeros(len(ended), np.int64), c[ended]), 0)
+                found[ended] += again == 0
+                to[ended] = again
+            state[:live] = to
+        out = np.empty(len(words), np.int64)
+        out[order] = found + (state > 0)
+        return out
 
 
 class Model:
-    """Languages, their automata and training lengths; sent as arrays."""
+    """Languages, their automata and training lengths, and a memo of words: their
+    phrase counts in all languages and their length, packed in one integer."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.bits = [math.log2(max(2, len(texts[k]))) for k in self.languages]
-        automata = [suffix_automaton(texts[k]) for k in self.languages]
-        self.arrays = [(np.fromiter(a.keys(), np.int64, len(a)), np.fromiter(a.values(), np.int32, len(a))) for a in automata]
-        self._memo: Memo | None = None
+        self.automata = [Automaton(suffix_automaton(texts[k])) for k in self.languages]
+        self.memo: dict[str, int] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_memo": None}
-
-    @property
-    def memo(self) -> Memo:
-        if self._memo is None:
-            self._memo = Memo([dict(zip(k.tolist(), v.tolist())) for k, v in self.arrays])
-        return self._memo
+        return self.__dict__ | {"memo": {}}
+
+    def learn(self, words: set[str]) -> None:
+        fresh = sorted(words - self.memo.keys())
+        if len(self.memo) + len(fresh) > MEMO_WORDS:
+            self.memo.clear()
+            fresh = sorted(words)
+        for at in range(0, len(fresh), 50_000):
+            part = fresh[at : at + 50_000]
+            counts = [a.phrases(part).tolist() for a in self.automata]
+            for word, *n in zip(part, *counts):
+                value = len(word) + 1
+                for k in reversed(n):
+                    value = value << FIELD | k
+                self.memo[word] = value
+
+    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Language, score, and phrases a character of the best language, of each text."""
+        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        if self.languages:
+            self.learn(set().union(*found))
+        return [self._judged(words) for words in found]
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score, and phrases a character of the best language."""
-        found = WORD.findall(text.lower()) if text else []
-        if not found or not self.languages:
+        return self.judge_all([text])[0]
+
+    def _judged(self, words: list[str]) -> tuple[str, float, float]:
+        if not words or not self.languages:
             return UNKNOWN, 0.0, 1.0
-        total = sum(map(self.memo.__getitem__, found))
+        total = sum(map(self.memo.__getitem__, words))
         mask, counts = (1 << FIELD) - 1, []
         for _ in self.languages:
             counts.append(total & mask)
@@ -187,9 +209,11 @@ def judged(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
             _loaded[key] = sent.value
         model = _loaded[key]
         for batch in batches:
-            lang, score, rate = zip(*(model.judge(x.as_py()) for x in batch.column("_text"))) if batch.num_rows else ((), (), ())
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*(f"k{i}" for i in range(len(columns))), "lang_pred", "score", "phrase_rate"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                lang, score, rate = zip(*model.judge_all(part.column("_text").to_pylist()))
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*(f"k{i}" for i in range(len(columns))), "lang_pred", "score", "phrase_rate"])
 
     chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"k{i} {kind}" for i, (_, kind) in enumerate(chosen.dtypes[:-1])), "lang_pred string, score double, phrase_rate double"])

@@ -98,15 +98,15 @@ def test_suffix_automaton_knows_all_substrings():
 
 def test_phrases_are_longest_matches():
     text = " the cat sat on the mat "
-    moves = language_id.suffix_automaton(text)
+    automaton = language_id.Automaton(language_id.suffix_automaton(text))
     rng = random.Random(1)
-    for _ in range(300):
-        s = "".join(rng.choice(" aehtcsmonxz") for _ in range(rng.randint(0, 14)))
-        i = want = 0
+    words = ["".join(rng.choice("aehtcsmonxz") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    for w, got in zip(words, automaton.phrases(words)):
+        s, i, want = f" {w} ", 0, 0
         while i < len(s):
             n = max((n for n in range(1, len(s) - i + 1) if s[i : i + n] in text), default=1)
             i, want = i + n, want + 1
-        assert language_id.phrases(moves, list(map(ord, s))) == want
+        assert got == want
 
 
 def test_language_id(spark, odd, empty, sf_dir):
