@@ -25,12 +25,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a folder in the warehouse stands in for it."""
+    """A new folder under ``spark.checkpoint.dir``, deleted when the application
+    ends.  Only where that setting is unset, as in local tests, a folder in the
+    warehouse stands in for it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    fs, p = hadoop_path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
