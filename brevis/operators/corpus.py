@@ -65,6 +65,11 @@ def combined(body: Column) -> Column:
     return F.array(T.normalize_space(body))
 
 
+def with_summary(summary: Column, text: Column) -> Column:
+    """A document's summary and text (an array) as one string, for its vocabulary."""
+    return F.array_join(F.concat(F.array(summary), text), " ")
+
+
 def line_sentences(body: Column, least: int = 5, keep_from: int = 11, split_from: int = 200) -> Column:
     """Lines without numbering: long ones cut into sentences of ``least`` code
     points, middling ones whole, short ones dropped."""

@@ -52,6 +52,19 @@ def rouge_n(hypothesis: Column, reference: Column, n: int = 1) -> tuple[Column,
     )
 
 
+def set_rouge(segment: Column, summary: Column, n: int = 1) -> Column:
+    """struct<f,p,r> of distinct n-grams: p over the segment, r over the summary,
+    f with 1e-8 in its denominator."""
+    def scores(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["x"], s["y"]))
+        p = F.coalesce(F.try_divide(both, F.size(s["x"])), F.lit(0.0))
+        r = F.coalesce(F.try_divide(both, F.size(s["y"])), F.lit(0.0))
+        return F.struct((2.0 * p * r / (p + r + 1e-8)).alias("f"), p.alias("p"), r.alias("r"))
+
+    grams = [F.array_distinct(T.ngrams(T.rouge_tokens(c), n)) for c in (segment, summary)]
+    return T.let(F.struct(grams[0].alias("x"), grams[1].alias("y")), scores)
+
+
 def lcs_table(x: list[str], y: list[str]) -> list[list[int]]:
     rows = [[0] * (len(y) + 1)]
     for a in x:

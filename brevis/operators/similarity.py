@@ -96,6 +96,12 @@ def best_labels(cells: DataFrame) -> DataFrame:
     return cells.groupBy("doc_id", "txt_ord").agg(best.alias("b")).select("doc_id", "txt_ord", F.col("b.f").alias("label"), (-F.col("b.o")).alias("sum_ord"))
 
 
+def regression_rows(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, txt_ord, text, summary, label: each text sentence with its best
+    summary sentence, from ``best_labels`` and (doc_id, summary, sents)."""
+    return labels.join(pairs, "doc_id").select("doc_id", "txt_ord", F.get("sents", F.col("txt_ord")).alias("text"), F.get("summary", F.col("sum_ord")).alias("summary"), "label").where("text is not null and summary is not null")
+
+
 def kth_values(cells: DataFrame) -> DataFrame:
     """doc_id, k (its summary sentences), kth: the k-th largest f of the document."""
     k = cells.groupBy("doc_id").agg(F.countDistinct("sum_ord").alias("k"))

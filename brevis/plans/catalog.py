@@ -411,6 +411,30 @@ def greedy_target_match(spark, sf_dir):
     return matched.select("doc_id", F.posexplode("m.picks").alias("o", "p")).select("doc_id", (F.col("o") + 1).alias("pick_ord"), "p.idx", "p.f")
 
 
+@query(f"""
+with p as ({SQL_TURNS}), g as (select conv_id, turn, list_distinct({sql_rouge('hypothesis')}) as x, list_distinct({sql_rouge('reference')}) as y from p),
+s as (select conv_id, turn, coalesce(len(list_intersect(x, y)) / nullif(len(x), 0), 0.0) as p, coalesce(len(list_intersect(x, y)) / nullif(len(y), 0), 0.0) as r from g)
+select conv_id, turn, round(2.0 * p * r / (p + r + 1e-8), 6) as f, round(p, 6) as p, round(r, 6) as r from s
+""")
+def set_rouge_pairs(spark, sf_dir):
+    s = rouge.set_rouge(F.col("hypothesis"), F.col("reference"))
+    scored = _turn_pairs(spark, sf_dir).select("conv_id", "turn", s.alias("s"))
+    return scored.select("conv_id", "turn", *[F.round(f"s.{c}", 6).alias(c) for c in "fpr"])
+
+
+@query("select conv_id, turn, 'oppsummer: ' || text as input_text from conversations where role = 'user'")
+def prompted_inputs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", F.concat(F.lit("oppsummer: "), "text").alias("input_text"))
+
+
+@query("select conv_id, turn, text from conversations where text is not null and role in ('user', 'assistant') union all select conv_id, -1, string_agg(text, ' ' order by turn) from conversations group by conv_id")
+def union_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.lit(-1).cast("long").alias("turn"), F.array_join("t.text", " ").alias("text"))
+    return turns.where("text is not null and role in ('user', 'assistant')").select("conv_id", "turn", "text").unionByName(whole)
+
+
 # ------------------------------------------------------------------- similarity
 SQL_IDF = f"""
   idf as (select t as token, count(*) as df, round(ln((any_value(n) + 1) / (count(*) + 1)), 6) as idf
@@ -505,6 +529,28 @@ def matrix_guard(spark, sf_dir):
     return similarity.shape_guard(cells, expected).groupBy("doc_id").agg(F.count("*").alias("n_cells"))
 
 
+@query(f"""
+with {SQL_CELLS}, e as (select min(f) as lo, max(f) as hi from cells)
+select (case when hi = lo then 1 else least(floor((f - lo) * 50 / (hi - lo)) + 1, 50) end)::int as bin, count(*) as n from cells, e group by 1
+""")
+def similarity_hist50(spark, sf_dir):
+    return corpus.histogram(_cells(spark, sf_dir), F.col("f"), 50)
+
+
+@query(f"""
+with {SQL_CELLS}, pair as ({SQL_PAIRS}), best as (select doc_id, txt_ord, sum_ord, f from (select *, row_number() over (partition by doc_id, txt_ord order by f desc, sum_ord) as k from cells) where k = 1)
+select * from (select doc_id, txt_ord::int as txt_ord, sents[txt_ord + 1] as text, summary[sum_ord + 1] as summary, f as label from best join pair using (doc_id)) where text is not null and summary is not null
+""")
+def regression_rows(spark, sf_dir):
+    labels = similarity.best_labels(similarity.complete_documents(_cells(spark, sf_dir)))
+    return similarity.regression_rows(labels, pairs(spark, sf_dir))
+
+
+@query(f"select doc_id, array_to_string(list_concat([array_to_string(summary, ' ')], sents), ' ') as text from ({SQL_PAIRS})")
+def combined_string(spark, sf_dir):
+    return pairs(spark, sf_dir).select("doc_id", corpus.with_summary(F.array_join("summary", " "), F.col("sents")).alias("text"))
+
+
 # ---------------------------------------------------------------------- pruning
 def _scored(spark, sf_dir):
     return ml.scored_sentences(pairs(spark, sf_dir))
