@@ -27,8 +27,10 @@ verified by exact intersection and the links' components found.  Then, in
 signatures that still hold several components, nodes of different components are
 compared, block by block, so that a task holds two blocks of ``BLOCK`` nodes at
 most of a signature that many share.  In both rounds a parity sketch decides first: each set keeps a bit a
-bucket, the parity of its elements there, and two sets whose sketches differ in
-more bits than their sets may differ in elements don't become a pair.  After
+bucket, the parity of its elements there, over two to four buckets an element,
+and two sets whose sketches differ in more bits than their sets may differ in
+elements don't become a pair.  A node takes its sketch to its signatures folded
+to ``BRIEF`` words; pairs that this lets pass meet the whole sketches.  After
 that every pair that shares a signature is verified, excluded or in one
 component, so the components are exact.  Nothing is collected or cut off.
 
@@ -56,9 +58,9 @@ RATIO = 4
 FILTER_BITS = 1 << 26
 #: Shingles are counted by the low bits of their hash, in a table of 2 MB.
 COUNTERS = 1 << 18
-SKETCH_BITS = 1024
 #: Nodes of one signature that are compared with each other in a task, about.
 BLOCK = 1024
+BRIEF = 16
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +75,30 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, count, node
 
 
-def sketches(h: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The parity sketches of the rows' sets, SKETCH_BITS / 64 integers each."""
-    cell = np.repeat(np.arange(len(count)), count) * SKETCH_BITS + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & U(SKETCH_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=len(count) * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+def sketches(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity sketches of the rows' sets, one after the other, and their
+    lengths in 64-bit words: the least power of two with two bits an element."""
+    width = np.ones(len(count), np.int64)
+    for k in range(1, 40):
+        width[2 * count > 64 << (k - 1)] = 1 << k
+    bits = width * 64
+    first = np.repeat(np.cumsum(bits) - bits, count)
+    cell = first + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & np.repeat(bits - 1, count).astype(U)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(U), width
+
+
+def folded(s: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (the last axis) of half as many buckets, until ``width`` words are left."""
+    while s.shape[-1] > width:
+        half = s.shape[-1] // 2
+        s = s[..., :half] ^ s[..., half:]
+    return s
+
+
+def may_link(apart: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes m and n, whose sketches differ in ``apart`` bits, may link."""
+    return (7 * apart <= m + n) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
 
 
 def parts_of_band(band: np.ndarray) -> np.ndarray:
@@ -143,7 +164,7 @@ def _first(owner: np.ndarray, sign: np.ndarray, common: np.ndarray, most: np.nda
 
 
 def _node_table(texts: DataFrame) -> DataFrame:
-    """(doc, n_shingles, node, sketch) for each row; a sketch once a task and node."""
+    """(doc, n_shingles, node, sketch, brief) for each row; sketches once a task and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -152,11 +173,18 @@ def _node_table(texts: DataFrame) -> DataFrame:
             for a, b in pieces(offsets):
                 h, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 fresh = np.array([n > 0 and x not in seen and not seen.add(x) for n, x in zip(count.tolist(), node.tolist())], bool)
-                sizes = np.where(fresh, SKETCH_BITS // 64, 0)
-                sketch = lists(sketches(h[np.repeat(fresh, count)], count[fresh]), sizes, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64)), sketch], names=["doc", "n_shingles", "node", "sketch"])
+                words, width = sketches(h[np.repeat(fresh, count)], count[fresh])
+                sizes = np.zeros(b - a, np.int64)
+                sizes[fresh] = width
+                sketch = lists(words.view(np.int64), sizes, pa.int64())
+                at = np.cumsum(width) - width
+                briefs = [folded(words[x : x + w], BRIEF) for x, w in zip(at, width)]
+                sizes = np.zeros(b - a, np.int64)
+                sizes[fresh] = np.minimum(width, BRIEF)
+                brief = lists(np.concatenate([*briefs, np.empty(0, U)]).view(np.int64), sizes, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64)), sketch, brief], names=["doc", "n_shingles", "node", "sketch", "brief"])
 
-    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long, sketch array<long>")
+    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long, sketch array<long>, brief array<long>")
 
 
 def _shingle_counts(texts: DataFrame) -> np.ndarray:
@@ -237,11 +265,23 @@ def _near(a: Column, b: Column) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether sizes ``{a}_m`` and sketches ``{a}_s`` allow a link.  A bit of the
-    sketches differs only if some element of its bucket is in one set alone."""
-    apart = F.aggregate(F.zip_with(f"{a}_s", f"{b}_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return _near(F.col(f"{a}_m"), F.col(f"{b}_m")) & (7 * apart <= F.col(f"{a}_m") + F.col(f"{b}_m"))
+def _likely(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link, from rows (a, b, a_m, b_m, a_s, b_s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                apart = np.empty(part.num_rows, np.int64)
+                for i, (x, y) in enumerate(zip(part.column("a_s"), part.column("b_s"))):
+                    x, y = (v.values.to_numpy(zero_copy_only=False).view(U) for v in (x, y))
+                    width = min(len(x), len(y))
+                    apart[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()
+                kept = np.flatnonzero(may_link(apart, part.column("a_m").to_numpy(), part.column("b_m").to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(kept)) for c in "ab"], names=["a", "b"])
+
+    near = _near(F.col("a_m"), F.col("b_m"))
+    return pairs.where(near).select("a", "b", "a_m", "b_m", "a_s", "b_s").mapInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -256,33 +296,46 @@ def _across(placed: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, of nodes that share a signature and are of
     different components, from rows (sign, node, c, m, s)."""
 
-    def pairs(node, c, m, s, block, i, j) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(block == i)
-        right = left if i == j else np.flatnonzero(block == j)
-        found = []
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            apart = np.bitwise_count(s[x, None] ^ s[None, right]).sum(2, dtype=np.int64)
-            small, large = np.minimum(m[x, None], m[None, right]), np.maximum(m[x, None], m[None, right])
-            ok = (7 * apart <= small + large) & (100 * small >= PERCENT * large) & (c[x, None] != c[None, right])
-            u, v = np.nonzero(ok)
-            u, v = node[x[u]], node[right[v]]
-            found.append((np.minimum(u, v), np.maximum(u, v)))
+    def pairs(node, c, m, s, width, block, i, j) -> tuple[np.ndarray, np.ndarray]:
+        """``s``: the words of all sketches, ``width`` of them a node, one after the other."""
+        first, found = np.cumsum(width) - width, []
+
+        def table(rows: np.ndarray, own: int) -> np.ndarray:
+            return s[first[rows][:, None] + np.arange(own)]
+
+        # sizes that may link have sketches of one width, or of one and its double
+        for own in np.unique(width[block == i]):
+            left = np.flatnonzero((block == i) & (width == own))
+            for other in (own // 2, own, 2 * own):
+                right = np.flatnonzero((block == j) & (width == other))
+                if not other or not len(right):
+                    continue
+                least = int(min(own, other))
+                x, y = folded(table(left, int(own)), least), folded(table(right, int(other)), least)
+                step = max(1, (1 << 20) // (len(right) * least))
+                for at in range(0, len(left), step):
+                    some = left[at : at + step]
+                    apart = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                    ok = may_link(apart, m[some, None], m[None, right]) & (c[some, None] != c[None, right])
+                    u, v = np.nonzero(ok)
+                    u, v = node[some[u]], node[right[v]]
+                    found.append((np.minimum(u, v), np.maximum(u, v)))
         a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["sign", "i", "j", "node", "c", "m", "block"], None
+        names, held = ["sign", "i", "j", "node", "c", "m", "block", "width"], None
 
         def settle(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-            found = [pairs(*(rows[k][x:y] for k in ("node", "c", "m", "s", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1], starts[1:])]
+            at = np.concatenate([[0], np.cumsum(rows["width"])])
+            found = [pairs(*(rows[k][x:y] for k in ("node", "c", "m")), rows["s"][at[x] : at[y]], *(rows[k][x:y] for k in ("width", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1], starts[1:])]
             a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
             both = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
             rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            rows["s"] = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(U).reshape(-1, SKETCH_BITS // 64)
+            rows["s"] = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(U)
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
             n = len(rows["sign"])
@@ -292,7 +345,8 @@ def _across(placed: DataFrame) -> DataFrame:
             new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("sign", "i", "j")], axis=0)
             starts = np.flatnonzero(new)
             yield settle(rows, starts)  # all groups but the last, which may go on
-            held = {k: v[starts[-1] :] for k, v in rows.items()}
+            rows["s"] = rows["s"][int(rows["width"][: starts[-1]].sum()) :]
+            held = {k: v if k == "s" else v[starts[-1] :] for k, v in rows.items()}
         if held is not None and len(held["sign"]):
             yield settle(held, np.array([0, len(held["sign"])]))
 
@@ -300,7 +354,7 @@ def _across(placed: DataFrame) -> DataFrame:
     rows = placed.join(n, "sign").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # block x of k takes part in k pairs of blocks, (least, greatest)
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sign", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", "s")
+    rows = rows.select("sign", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", F.size("s").alias("width"), "s")
     return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -309,7 +363,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     nodes = cut(_node_table(texts), "nodes")
     sizes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("n_shingles").alias("m"))
-    facts = nodes.where("size(sketch) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("m"), F.col("sketch").alias("s"))
+    facts = nodes.where("size(sketch) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("m"), F.col("sketch").alias("s"), "brief")
 
     same = Window.partitionBy("sign")
     shared = _signature_table(texts).withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).withColumn("n", F.count("*").over(same)).where("lo != hi").select("sign", "node", "n")
@@ -327,15 +381,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         return cut(_linked(pairs, _set_table(texts, wanted)), f"{name}_links")
 
-    likely = first.join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b")).select("a", "b")
-    links = verified(likely, "first")
+    links = verified(_likely(first.join(side("a"), "a").join(side("b"), "b")), "first")
     known = cut(components(links), "known")
 
     # signatures that still hold several components: across them
     placed = shared.select("sign", "node").join(known, "node", "left").select("sign", "node", F.coalesce("component", "node").alias("c"))
     several = placed.groupBy("sign").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("sign")
     placed = cut(placed.join(several, "sign", "left_semi").distinct(), "placed")
-    found = components(links.unionByName(verified(_across(placed.join(facts, "node")), "second")))
+    across = cut(_across(placed.join(facts.select("node", "m", F.col("brief").alias("s")), "node")), "across")
+    found = components(links.unionByName(verified(_likely(across.join(side("a"), "a").join(side("b"), "b")), "second")))
 
     # a component's id is the least doc of its nodes; a node's, the least of its copies
     named = sizes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
