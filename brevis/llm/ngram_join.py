@@ -61,6 +61,8 @@ COUNTERS = 1 << 18
 #: Nodes of one signature that are compared with each other in a task, about.
 BLOCK = 1024
 BRIEF = 16
+#: Groups of so many nodes are compared many at a time.
+FEW = 48
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,12 +325,37 @@ def _across(placed: DataFrame) -> DataFrame:
         a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
         return a, b
 
+    def small(rows: dict[str, np.ndarray], at: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many groups of a few rows at once."""
+        row = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        after = np.repeat(starts + size, size) - row - 1  # rows of the group that follow
+        u = np.repeat(row, after)
+        v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
+        c, m, width = rows["c"], rows["m"], rows["width"]
+        ok = (c[u] != c[v]) & (100 * np.minimum(m[u], m[v]) >= PERCENT * np.maximum(m[u], m[v]))
+        blocks = (rows["i"][u] == rows["j"][u]) | (rows["block"][u] != rows["block"][v])
+        u, v = u[ok & blocks], v[ok & blocks]
+        u, v = np.where(width[u] <= width[v], u, v), np.where(width[u] <= width[v], v, u)
+        keep = np.zeros(len(u), bool)
+        for own in np.unique(width[u]):
+            for other in (own, 2 * own):
+                pick = np.flatnonzero((width[u] == own) & (width[v] == other))
+                for p in np.split(pick, range(1 << 15, len(pick), 1 << 15)):
+                    x, y = (rows["s"][at[r[p]][:, None] + np.arange(n)] for r, n in ((u, own), (v, other)))
+                    apart = np.bitwise_count(x ^ folded(y, int(own))).sum(1, dtype=np.int64)
+                    keep[p] = may_link(apart, m[u[p]], m[v[p]])
+        u, v = rows["node"][u[keep]], rows["node"][v[keep]]
+        return np.minimum(u, v), np.maximum(u, v)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["sign", "i", "j", "node", "c", "m", "block", "width"], None
 
         def settle(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum(rows["width"])])
-            found = [pairs(*(rows[k][x:y] for k in ("node", "c", "m")), rows["s"][at[x] : at[y]], *(rows[k][x:y] for k in ("width", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1], starts[1:])]
+            size = np.diff(starts)
+            few = size <= FEW
+            found = [small(rows, at, starts[:-1][few], size[few])]
+            found += [pairs(*(rows[k][x:y] for k in ("node", "c", "m")), rows["s"][at[x] : at[y]], *(rows[k][x:y] for k in ("width", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1][~few], starts[1:][~few])]
             a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
             both = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
