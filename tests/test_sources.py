@@ -72,7 +72,7 @@ def test_html_chapters(spark):
 
 CONFIG = """
 [dataset]
-name = LOV
+name = corpus
 [stage1]
 input_max_token = 512
 lr = 1e-3
@@ -86,7 +86,7 @@ cores = 4
 def test_config():
     c = config.parse_config(CONFIG)
     assert c.stage(1).input_max_token == 512 and c.stage(1).lr == 1e-3 and c.stage(1).debug is False
-    assert c.stage1.none is None and c.dataset.name == "LOV" and c.nothing is None
+    assert c.stage1.none is None and c.dataset.name == "corpus" and c.nothing is None
     assert config.load_bricks(c, "summ.n") == {"source_segmentor": presets.by_sentences}
 
 
