@@ -77,7 +77,11 @@ def suffix_automaton(text: str) -> dict[int, int]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return {s * STATE + c: t for s, out in enumerate(moves) for c, t in out.items()}
+    flat: dict[int, int] = {}
+    while moves:  # a state's own table goes as soon as it is copied
+        out = moves.pop()
+        flat.update((len(moves) * STATE + c, t) for c, t in out.items())
+    return flat
 
 
 class Automaton:
