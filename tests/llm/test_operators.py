@@ -242,6 +242,47 @@ def test_line_dedup_matches_brute_force(spark, odd, empty):
     assert line_dedup.summarize(empty).count() == 0
 
 
+@pytest.mark.parametrize("chinese", [False, True])
+def test_line_dedup_threshold_grows_with_length(spark, odd, chinese):
+    """Word edits up to a tenth of the shorter line's words, against all pairs."""
+    rng, rows, lines = random.Random(11), [], []
+    seeds = [[chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n)] if chinese else prose(300 + n, n).split() for n in (9, 10, 11, 12, 15, 21, 22, 31, 39, 40, 44, 60, 83, 120, 360)]
+    for s in seeds:
+        for _ in range(9):
+            x = list(s)
+            for _ in range(rng.randint(0, len(s) // 10 + 1)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice([[], [rng.choice("甲乙丙丁") if chinese else rng.choice(["changed", "words", "zz", "overlong"])]])
+            lines.append(x)
+    rows = [(i, ("" if chinese else " ").join(x)) for i, x in enumerate(lines)]
+
+    def same(x, y):
+        a, b, small = rows[x][1].encode(), rows[y][1].encode(), min(len(lines[x]), len(lines[y]))
+        if a == b or min(len(a), len(b)) < line_dedup.MIN_BYTES:
+            return a == b
+        if line_dedup.long_distance(list(a), list(b)) <= line_dedup.EDITS:
+            return True
+        return line_dedup.long_distance(lines[x], lines[y]) <= small // line_dedup.SHARE
+
+    of = linked(list(range(len(rows))), same)
+    want = sorted(i for i, c in enumerate(of) if of.index(c) != i)
+    got = line_dedup.summarize(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()
+    assert sorted(r["doc_id"] for r in got) == want and len(want) > 50
+    found = {r["doc_id"]: r for r in line_dedup.summarize(odd.where("doc_id is not null")).collect()}
+    assert found[3]["removed"] == [0]  # one word of 120 replaced
+
+
+def test_line_dedup_runs_and_long_distances():
+    for band, (least, gram, window) in enumerate(line_dedup.BANDS[:20]):
+        most = line_dedup.BANDS[band + 1][0]
+        assert all(line_dedup.least_run(n) >= gram + window - 1 for n in range(least, min(most, least + 3000)))
+        assert least * 11 <= most * 10  # a shorter partner is at most one band below
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(1, 30))] for _ in "ab")
+        assert line_dedup.long_distance(a, b) == distance(a, b)
+
+
 def test_line_dedup_applies(spark):
     rows = [(1, "a line that is long enough to count\nb"), (2, "a line that is long enough to cou\nb\n\nc")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
