@@ -46,22 +46,27 @@ LINKED_INSIDE = 0.75
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text never is page text.
-HIDDEN = "script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|canvas|audio|video"
+#: Elements whose text never is page text: those of raw text end with the page if
+#: unclosed; of the others, a self-closed or unclosed one has nothing in it.
+RAW = "script|style|textarea|title"
+HIDDEN = "noscript|template|svg|math|iframe|object|select|button|canvas|audio|video"
 BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
+HIDDEN_NAMES = frozenset(HIDDEN.split("|"))
 #: ``header`` is a page's header only outside of the article.
 BOILER_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|paywall|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s\d])", re.I)
 BOILER_ROLE = re.compile(r"banner|navigation|complementary|contentinfo|search|dialog|alert|form", re.I)
 
+SKIPPED = rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+HIDDEN_TAG = re.compile(rf"""{SKIPPED}|<(?P<end>/?)(?P<tag>{HIDDEN})(?=[\s/>])(?P<attrs>(?:(?>[^>"']++|"[^"]*"|'[^']*')*+|[^>]*+))>""", re.S | re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{HIDDEN})(?=[\s/>])[^>]*+>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*')*+)>"""
+    SKIPPED
+    + r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*')*+)>"""
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Names and values one after the other, so no name is looked for inside a value.
+ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -77,11 +82,25 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
             elif name in ("class", "id"):
                 if BOILER_NAME.search(value):
                     return True
-            elif name == "hidden" and not m[4] and value in ("", "hidden") or name == "aria-hidden" and value == "true":
+            elif name == "hidden" and value in ("", "hidden") or name == "aria-hidden" and value == "true":
                 return True
     return False
 
 
+def hidden_spans(source: str) -> dict[int, int]:
+    """Start and end of the closed HIDDEN elements; equal names may nest."""
+    spans, open_at = {}, {}
+    for m in HIDDEN_TAG.finditer(source):
+        if tag := m["tag"]:
+            begun = open_at.setdefault(tag.lower(), [])
+            if not m["end"]:
+                if not m["attrs"].endswith("/"):
+                    begun.append(m.start())
+            elif begun:
+                spans[begun.pop()] = m.end()
+    return spans
+
+
 class Page:
     """One page's blocks: [text, linked characters, heading, in boilerplate, in article]."""
 
@@ -94,13 +113,15 @@ class Page:
         self.open: Counter[str] = Counter()
         self.boiler: list[int] = []  # stack depths at which boilerplate began
         self.article = self.heading = self.link = 0
-        at = 0
-        for m in TOKEN.finditer(source):
+        at, spans = 0, hidden_spans(source)
+        while m := TOKEN.search(source, at):
             if m.start() > at:
                 self.text(source[at : m.start()])
-            at = m.end()
-            if tag := m["tag"]:
+            at = spans.get(m.start(), m.end())
+            if at == m.end() and (tag := m["tag"]):
                 tag = tag.lower()
+                if tag in HIDDEN_NAMES:
+                    continue
                 if m["end"]:
                     self.close(tag)
                 else:

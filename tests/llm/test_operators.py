@@ -485,6 +485,22 @@ def test_main_text_of_long_pages():
     assert html_extract.main_text("<" * 20000 + "<!--" * 5000) == ""
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="a hidden place"', "data-class='sidebar'", 'data-x="id=menu"', 'class="x" data-hidden', "title='role=banner'"])
+def test_html_attributes_are_whole_names(attrs):
+    source = f"<article><p {attrs}>{ARTICLE}</p><p>See <a href=/hidden-gems>the gems</a> and more.</p></article>"
+    assert html_extract.main_text(source) == f"{ARTICLE}\n\nSee the gems and more."
+    for hides in ("hidden", 'hidden=""', "hidden=hidden", f'{attrs}hidden' if attrs[-1] in "\"'" else "x/hidden", 'aria-hidden="true"', "CLASS=sidebar"):
+        assert html_extract.main_text(f"<article><p>{ARTICLE}</p><div {hides}>gone</div></article>") == ARTICLE
+
+
+@pytest.mark.parametrize("tag", html_extract.HIDDEN.split("|"))
+def test_html_self_closed_and_unclosed_elements(tag):
+    for form in (f'<{tag} width="8"/>', f"<{tag}>", f"<{tag}><{tag}>in</{tag}>", f"<{tag} a=1>in</{tag}>", f"<{tag}><{tag}>in</{tag}>side</{tag}>"):
+        assert html_extract.main_text(f"<article><p>one</p>{form}<p>two</p><p>three</p></article>") == "one\n\ntwo\n\nthree"
+    assert html_extract.main_text("<article><p>one</p><script>x <p>two</p></article>") == "one"
+    assert html_extract.main_text(f"<{tag}>" * 30000) == ""
+
+
 def test_extract(spark, sf_dir):
     pages = spark.createDataFrame([(1, "u", f"<article>{ARTICLE}</article>", "x"), (1, "u", f"<article>{ARTICLE}</article>", "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_extract.extract(pages).collect()
