@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 
 
@@ -42,9 +43,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.cut_folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` made, once all that reads them is written too."""
+    for t in tables:
+        drop_path(t.sparkSession, t.cut_folder)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -99,39 +108,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = U(0x9E3779B97F4A7C15)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
-BYTE = mix(np.arange(1, 257, dtype=U) * BASE)
+#: Strings are hashed as polynomials modulo this prime: a string of n bytes collides
+#: with another of n bytes for at most n of about 2 ** 61 bases.
+PRIME = (1 << 61) - 1
+BASE = 0x14B2F3C6D85A9E37
+LOW, HIGH, TOP = U((1 << 32) - 1), U(32), U(61)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Sums of bytes times half powers stay below 2 ** 64 for so many bytes.
+STRETCH = 1 << 23
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), kept and doubled as needed up to one chunk."""
-    key = int(base)
-    have = _powers.get(key)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x mod PRIME for x below 2 ** 63."""
+    x = (x & U(PRIME)) + (x >> TOP)
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b mod PRIME, of numbers below PRIME, from products of 32-bit halves."""
+    a1, a0, b1, b0 = a >> HIGH, a & LOW, b >> HIGH, b & LOW
+    middle, last = a1 * b0 + a0 * b1, a0 * b0
+    return _reduced(((a1 * b1) << U(3)) + (middle >> U(29)) + ((middle & U((1 << 29) - 1)) << HIGH) + (last & U(PRIME)) + (last >> TOP))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) mod PRIME, kept and doubled as needed up to a few chunks."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + (CHUNK >> 2)), base, U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if len(have) <= 4 * CHUNK:
-            _powers[key] = have
+        have, size = np.ones(1, U), max(n, CHUNK + (CHUNK >> 2))
+        while len(have) < size:
+            step = np.full(len(have), pow(base, len(have), PRIME), U)
+            have = np.concatenate([have, product(have, step)[: size - len(have)]])
+        if len(have) <= 8 * CHUNK:
+            _powers[base] = have
     return have[:n]
 
 
-def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of codes[k] * BASE**k over i <= k < j, mod 2**64."""
-    out = np.zeros(len(codes) + 1, U)
-    np.cumsum(codes * powers(BASE, len(codes)), out=out[1:])
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Two running sums over bytes, of (byte + 1) times the low and the high 32 bits
+    of BASE ** place, from which span_hash makes the hash of any span."""
+    out = np.zeros((2, len(data) + 1), U)
+    code, power = data.astype(U) + U(1), powers(BASE, len(data))
+    np.cumsum(code * (power & LOW), out=out[0, 1:])
+    np.cumsum(code * (power >> HIGH), out=out[1, 1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-free hashes of the spans [start, end)."""
-    return mix((prefix[end] - prefix[start]) * powers(BASE_INVERSE, len(prefix))[start])
+    low, high = prefix
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    total, at = np.zeros(len(start), U), start
+    while True:
+        to = np.minimum(at + STRETCH, end)
+        a, b = low[to] - low[at], high[to] - high[at]
+        total = _reduced(total + (a & U(PRIME)) + (a >> TOP) + _reduced((b >> U(29)) + ((b & U((1 << 29) - 1)) << HIGH)))
+        at = to
+        if not len(at) or (at == end).all():
+            break
+    return mix(product(total, powers(pow(BASE, -1, PRIME), prefix.shape[1])[start]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +198,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     counts = np.diff(first)
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, U), counts
-    h = span_hash(prefix_hash(BYTE[LOWER[data]]), start, end)
+    h = span_hash(prefix_hash(LOWER[data]), start, end)
     row = np.repeat(np.arange(len(counts)), counts)
     full = max(0, len(h) - k + 1)
     total = np.zeros(full, U)
@@ -178,6 +217,33 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(found), counts
 
 
+def first_seen(node: np.ndarray, seen: set[int], bound: int = 500_000) -> np.ndarray:
+    """The rows whose node isn't in ``seen`` or in an earlier row; they are added.
+    Beyond ``bound`` nodes all are forgotten: callers take a repeat for a copy."""
+    _, first = np.unique(node, return_index=True)
+    fresh = np.array([i for i, x in zip(first.tolist(), node[first].tolist()) if x not in seen], np.int64)
+    seen.update(node[fresh].tolist())
+    if len(seen) > bound:
+        seen.clear()
+    return np.sort(fresh)
+
+
+def bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits, a power of two, with a bit for each value of a table
+    with one long column."""
+    (name,) = values.columns
+    place = F.pmod(F.col(name), F.lit(bits))
+    words = values.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{name}`, {bits}) & 63 as int))")).alias("x")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy()] = words["x"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(found: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values & U(len(found) * 8 - 1)
+    return ((found[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def distinct_sets(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each of n rows, one after the other, and their counts."""
     order = np.lexsort((value, row))

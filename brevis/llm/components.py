@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b): the least node that
-    is reachable.  Self-loops and repeated edges are allowed."""
+    is reachable.  Self-loops and repeated edges are allowed.  The result may be
+    given to ``discard``."""
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
@@ -27,9 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         starred = _stars(large)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = cut(small, "edges")
+        before, now = now, cut(small, "edges")
+        discard(before)
         n = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(n) == mark:
             break
         mark = tuple(n)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found.cut_folder = now.cut_folder
+    return found

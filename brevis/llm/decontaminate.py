@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, LOWER, U, cut, distinct_sets, documents, mix, pieces, prefix_hash, shingles, span_hash, utf8, words
+from .common import LOWER, U, cut, distinct_sets, documents, mix, pieces, prefix_hash, shingles, span_hash, utf8, words
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -55,7 +55,7 @@ def document_shingles(data: np.ndarray, offsets: np.ndarray, short: frozenset[in
     if short:
         start, end, first = words(data, offsets)
         if len(start):
-            one = span_hash(prefix_hash(BYTE[LOWER[data]]), start, end)
+            one = span_hash(prefix_hash(LOWER[data]), start, end)
             of = np.repeat(np.arange(len(counts)), counts)
             for size in short:
                 full = max(0, len(one) - size + 1)
