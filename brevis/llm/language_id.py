@@ -1,21 +1,24 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over labelled text.  A new text is
-parsed greedily into the longest phrases that occur in that text: from each
-phrase start the automaton is walked as far as it goes.  The language that needs
-the fewest phrases a character, weighed by log2 of its training length (the bits
-of a phrase's address), wins; ties go to the first language by code point.
-
-Texts are lower-cased and read as words (runs of letters, cut after ``WORD_CHARS``)
-between single spaces, and a phrase ends with its word at the latest, so that a
-word's phrase count is worked out once and kept.  Whole texts are read; the words
-of a few hundred texts that aren't kept yet walk the automata together, a letter
-a step.
+parsed greedily into the longest phrases that occur in that text, across words:
+from each phrase start the automaton is walked as far as it goes; a byte that the
+language hasn't is a phrase of its own.  The language that needs the fewest
+phrases a character, weighed by log2 of its training length (the bits of a
+phrase's address), wins; ties go to the first language by code point.
+
+Texts are lower-cased and every run of characters that are neither letters nor
+marks (Unicode categories L and M) is one space; a space stands at both ends.
+Whole texts are read, as UTF-8 bytes, in stretches of ``STRETCH`` bytes that each
+begin a phrase, so that thousands of stretches walk the automata of all languages
+together, a byte a step, over one table of transitions.
 
 Training takes a bounded sample: about ``SAMPLE_DOCS`` labelled rows of each
-language, spread by a hash of doc_id, ``SAMPLE_CHARS`` characters of each and
-``TRAIN_CHARS`` of each language.  Only rows with a text and a label whose
-crc32(doc_id as text) mod 3 is not 1 are labelled rows here.
+language, drawn by a hash of doc_id and text (equal rows once), ``SAMPLE_CHARS``
+characters of each and ``TRAIN_BYTES`` of each language.  Only rows with a text
+and a label whose crc32(doc_id as text) mod 3 is not 1 are labelled rows here.  A
+language's automaton is built where its rows meet; the driver gets its
+transitions only, about 400 kB a language, and sends them to the executors.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter,
 or if nothing can be learned; a null doc_id counts as ''; repeated rows are
@@ -26,35 +29,40 @@ judged alike; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, pieces, utf8
 
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 160, 4000, 120_000
-WORD_CHARS = 48
-#: Words that one worker keeps with their phrase counts.
-MEMO_WORDS = 250_000
+SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_BYTES = 160, 4000, 30_000
+STRETCH = 2048
+#: Bytes that walk together.
+TOGETHER = 4 << 20
 #: More phrases a character than this: the text is in none of the languages.
-MOST_PHRASES = 0.7
+MOST_PHRASES = 0.6
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]{1,%d}" % WORD_CHARS)
-STATE = 1 << 21  # above every code point
-FIELD = 48  # bits of a packed count
-TEXTS = 256  # judged together
 
 
-def suffix_automaton(text: str) -> dict[int, int]:
-    """The transitions (state * STATE + code point) -> state of the automaton of
-    all substrings of ``text``; state 0 is the start."""
+def normalised(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words between single spaces, and whether a text has a letter."""
+    texts = pc.fill_null(texts, "")
+    words = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " ")
+    has = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    return pc.binary_join_element_wise("", pc.ascii_trim(words, " "), "", " "), has
+
+
+def suffix_automaton(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The transitions of the automaton of all substrings of ``text``, as sorted
+    keys state * 256 + byte and the states they lead to; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
-    for c in map(ord, text):
+    for c in text:
         new = len(moves)
         moves.append({})
         link.append(0)
@@ -77,126 +85,126 @@ def suffix_automaton(text: str) -> dict[int, int]:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    flat: dict[int, int] = {}
-    while moves:  # a state's own table goes as soon as it is copied
-        out = moves.pop()
-        flat.update((len(moves) * STATE + c, t) for c, t in out.items())
-    return flat
-
-
-class Automaton:
-    """An automaton's transitions as sorted arrays: 12 bytes each."""
-
-    def __init__(self, moves: dict[int, int]):
-        keys = np.fromiter(moves.keys(), np.int64, len(moves))
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.fromiter(moves.values(), np.int32, len(moves))[order]
-
-    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The next states; 0 where there is no transition (none leads to the start)."""
-        key = state * STATE + codes
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], 0).astype(np.int64)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """How many longest matches a greedy parse of each word between spaces
-        needs; an unknown character is one."""
-        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        order = np.argsort(-size, kind="stable")
-        codes = np.frombuffer("".join(f" {words[i]} " for i in order).encode("utf-32-le"), np.uint32).astype(np.int64)
-        size = size[order]
-        begin = np.cumsum(size) - size
-        state, found = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        for t in range(int(size[0]) if len(words) else 0):
-            live = int(np.searchsorted(-size, -t, "left"))
-            c, now = codes[begin[:live] + t], state[:live]
-            to = self.step(now, c)
-            ended = np.flatnonzero(to == 0)
-            if len(ended):
-                found[ended] += now[ended] > 0
-                again = np.where(now[ended] > 0, self.step(np.zeros(len(ended), np.int64), c[ended]), 0)
-                found[ended] += again == 0
-                to[ended] = again
-            state[:live] = to
-        out = np.empty(len(words), np.int64)
-        out[order] = found + (state > 0)
-        return out
+    flat = sorted((state * 256 + c, to) for state, out in enumerate(moves) for c, to in out.items())
+    keys, to = zip(*flat) if flat else ((), ())
+    return np.array(keys, np.int64), np.array(to, np.int32)
 
 
 class Model:
-    """Languages, their automata and training lengths, and a memo of words: their
-    phrase counts in all languages and their length, packed in one integer."""
+    """Languages and their automata, given as {language: (training bytes, keys, to)}."""
 
-    def __init__(self, texts: dict[str, str]):
-        self.languages = sorted(texts)
-        self.bits = [math.log2(max(2, len(texts[k]))) for k in self.languages]
-        self.automata = [Automaton(suffix_automaton(texts[k])) for k in self.languages]
-        self.memo: dict[str, int] = {}
+    def __init__(self, automata: dict[str, tuple[int, np.ndarray, np.ndarray]]):
+        self.languages = sorted(automata)
+        self.bits = np.array([math.log2(max(2, automata[k][0])) for k in self.languages])
+        self.automata = [automata[k][1:] for k in self.languages]
+        self._table = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
-
-    def learn(self, words: set[str]) -> None:
-        fresh = sorted(words - self.memo.keys())
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
-            fresh = sorted(words)
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
-            counts = [a.phrases(part).tolist() for a in self.automata]
-            for word, *n in zip(part, *counts):
-                value = len(word) + 1
-                for k in reversed(n):
-                    value = value << FIELD | k
-                self.memo[word] = value
-
-    def judge_all(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        return self.__dict__ | {"_table": None}
+
+    def table(self) -> tuple[np.ndarray, ...]:
+        """Class of each byte; places of the next states for place + class, where
+        each language's rows follow each other and a start's own place says that
+        there is no transition; the languages' starts; and what follows the starts."""
+        if self._table is None:
+            known = np.unique(np.concatenate([keys & 255 for keys, _ in self.automata]))
+            classes = np.zeros(256, np.int32)
+            classes[known] = np.arange(1, len(known) + 1)
+            width = len(known) + 1
+            states = np.array([int(to.max(initial=0)) + 1 for _, to in self.automata])
+            start = ((np.cumsum(states) - states) * width).astype(np.int64)
+            moves = np.empty(int(states.sum()) * width, np.int32)
+            for at, n, (keys, to) in zip(start, states, self.automata):
+                own = moves[at : at + n * width]
+                own[:] = at
+                own[(keys >> 8) * width + classes[keys & 255]] = at + to.astype(np.int64) * width
+            first = moves[start[:, None] + np.arange(width)]
+            self._table = classes, moves, start.astype(np.int32), first
+        return self._table
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(languages, texts): phrases of each text."""
+        classes, moves, start, first = self.table()
+        size = np.diff(offsets)
+        parts = -(-size // STRETCH)
+        owner = np.repeat(np.arange(len(size)), parts)
+        begin = np.repeat(offsets[:-1], parts) + (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
+        length = np.minimum(begin + STRETCH, offsets[1:][owner]) - begin
+        order = np.argsort(-length, kind="stable")
+        owner, begin, length = owner[order], begin[order], length[order]
+        codes, start = classes[data], start[:, None]
+        state = np.repeat(start, len(owner), 1)
+        found = np.zeros(state.shape, np.int32)
+        live = len(owner)
+        for t in range(int(length[0]) if live else 0):
+            while length[live - 1] <= t:
+                live -= 1
+            c = codes[begin[:live] + t]
+            now = state[:, :live]
+            to = np.take(moves, now + c)
+            none = to == start
+            found[:, :live] += none | (now == start)  # this byte begins a phrase
+            np.copyto(to, np.take(first, c, 1), where=none)
+            state[:, :live] = to
+        return np.stack([np.bincount(owner, f, len(size)) for f in found])
+
+    def judge_all(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, and phrases a character of the best language, of each text."""
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        if self.languages:
-            self.learn(set().union(*found))
-        return [self._judged(words) for words in found]
-
-    def judge(self, text: str | None) -> tuple[str, float, float]:
-        return self.judge_all([text])[0]
-
-    def _judged(self, words: list[str]) -> tuple[str, float, float]:
-        if not words or not self.languages:
-            return UNKNOWN, 0.0, 1.0
-        total = sum(map(self.memo.__getitem__, words))
-        mask, counts = (1 << FIELD) - 1, []
-        for _ in self.languages:
-            counts.append(total & mask)
-            total >>= FIELD
-        costs = [n * b / total for n, b in zip(counts, self.bits)]
-        best = min(range(len(costs)), key=costs.__getitem__)
-        rest = [c for i, c in enumerate(costs) if i != best]
-        score = 1 - costs[best] / min(rest) if rest else 1.0
-        return self.languages[best], min(1.0, max(0.0, score)), counts[best] / total
+        words, has = normalised(texts)
+        n = len(words)
+        lang, score, rate = [UNKNOWN] * n, np.zeros(n), np.ones(n)
+        known = np.flatnonzero(has)
+        if not self.languages or not len(known):
+            return lang, score, rate
+        words = words.take(pa.array(known))
+        chars = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        data, offsets = utf8(words)
+        found = np.concatenate([self.phrases(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets, TOGETHER)], 1)
+        costs = found * self.bits[:, None] / chars
+        best = costs.argmin(0)
+        at = np.arange(len(known))
+        least = costs[best, at]
+        costs[best, at] = np.inf
+        second = costs.min(0)
+        score[known] = np.clip(np.where(np.isfinite(second), 1 - least / second, 1.0), 0, 1)
+        rate[known] = found[best, at] / chars
+        for i, k in zip(known.tolist(), best.tolist()):
+            lang[i] = self.languages[k]
+        return lang, score, rate
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, draw, text): the sample, about ``SAMPLE_DOCS`` rows a language."""
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), held_out(id_col).alias("held")).where("lang is not null and text is not null and not held")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not counts:
-        return Model({})
     parts = 1 << 30
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(parts, math.ceil(SAMPLE_DOCS * parts / n)))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(parts))
-    rows = labelled.withColumn("draw", draw).where(F.col("draw") < limits[F.col("lang")]).select("lang", "draw", "id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    held: dict[str, list[str]] = {k: [] for k in counts}
-    size = dict.fromkeys(counts, 0)
-    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["id"], r["text"])):
-        if size[r["lang"]] < TRAIN_CHARS:
-            found = " ".join(WORD.findall(r["text"].lower()))
-            if found:
-                held[r["lang"]].append(found)
-                size[r["lang"]] += len(found) + 1
-    return Model({k: f" {' '.join(v)} " for k, v in held.items() if v})
+    limits = labelled.groupBy("lang").agg(F.ceil(F.lit(SAMPLE_DOCS * parts) / F.count("*")).alias("limit"))
+    hashed = labelled.select("lang", "text", F.xxhash64(F.lit("sample"), "id", "text").alias("draw"))
+    drawn = hashed.join(limits, "lang").where(F.pmod("draw", F.lit(parts)) < F.col("limit"))
+    return drawn.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+
+
+def training_bytes(rows: pd.DataFrame) -> bytes:
+    """One language's rows as the text that its automaton is built over."""
+    rows = rows.sort_values(["draw", "text"])
+    words, _ = normalised(pa.array(rows["text"], pa.string()))
+    text = b"".join(w.encode() for w in words.to_pylist())
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text[: text.rfind(b" ", 0, TRAIN_BYTES) + 1] if len(text) > TRAIN_BYTES else text
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        text = training_bytes(rows)
+        keys, to = suffix_automaton(text)
+        return pd.DataFrame({"lang": rows["lang"].iloc[:1], "size": [len(text)], "keys": [keys.tobytes()], "to": [to.tobytes()]})
+
+    built = training_texts(docs, id_col, text_col, lang_col).groupBy("lang").applyInPandas(build, "lang string, size long, keys binary, to binary").collect()
+    return Model({r["lang"]: (r["size"], np.frombuffer(r["keys"], np.int64), np.frombuffer(r["to"], np.int32)) for r in built if r["size"] > 1})
 
 
 _loaded: dict[int, Model] = {}
@@ -208,14 +216,15 @@ def judged(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     key = hash((docs.sparkSession.sparkContext.applicationId, sent._jbroadcast.id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:  # one model a worker, with its memo
+        if key not in _loaded:  # one table of transitions a worker
             _loaded.clear()
             _loaded[key] = sent.value
         model = _loaded[key]
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
-                lang, score, rate = zip(*model.judge_all(part.column("_text").to_pylist()))
+            _, offsets = utf8(batch.column("_text"))
+            for a, b in pieces(offsets, TOGETHER):
+                part = batch.slice(a, b - a)
+                lang, score, rate = model.judge_all(part.column("_text"))
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*(f"k{i}" for i in range(len(columns))), "lang_pred", "score", "phrase_rate"])
 
