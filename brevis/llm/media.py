@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents, utf8
 
@@ -109,6 +110,13 @@ def _unfilter_diagonals(rows: np.ndarray, out: np.ndarray, above: np.ndarray, ki
 
 def from_png(data: bytes) -> np.ndarray:
     """The samples of an 8-bit greyscale PNG; raises ValueError on any damage."""
+    try:
+        return _samples(data)
+    except (struct.error, zlib.error) as e:  # cut off inside a chunk or its fields
+        raise ValueError("PNG: it is cut off or damaged") from e
+
+
+def _samples(data: bytes) -> np.ndarray:
     if data[:8] != SIGNATURE:
         raise ValueError("PNG: bad signature")
     at, shape, body, ended = 8, None, [], False
@@ -173,8 +181,7 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         yield from _batched([id_col, "n_bytes", "media"], [key_type, pa.int64(), pa.binary()], rows())
 
-    kind = dict(df.dtypes)[id_col]
-    key_type = pa.string() if kind == "string" else pa.int64()
+    kind, key_type = dict(df.dtypes)[id_col], to_arrow_type(df.schema[id_col].dataType)
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
@@ -193,8 +200,7 @@ def with_features(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
         kinds = [key_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield from _batched([id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], kinds, rows())
 
-    kind = dict(df.dtypes)[id_col]
-    key_type = pa.string() if kind == "string" else pa.int64()
+    kind, key_type = dict(df.dtypes)[id_col], to_arrow_type(df.schema[id_col].dataType)
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return df.select(id_col, "n_bytes", "media").mapInArrow(run, schema)
 
