@@ -13,7 +13,7 @@ A candidate's containment is then counted over all its shingles.
 
 While the items' shingles number ``BROADCAST_SHINGLES`` at most, their sorted
 hashes go to every executor and documents are searched in place, without a
-shuffle; a larger benchmark joins sketches and shingles by hash instead.  Both
+shuffle: for sketch members first, and only in documents with a candidate for all; a larger benchmark joins sketches and shingles by hash instead.  Both
 give the same pairs.
 
 Defined results: a text without words has no shingles and matches nothing; an
@@ -121,30 +121,39 @@ def _search(texts: DataFrame, known: pa.Table, short: frozenset[int], doc_kind:
     name_at = np.zeros(n_items, np.int64)
     name_at[item_no] = order
     names = known["item"].combine_chunks().take(pa.array(name_at))
-    least = int(-(-THRESHOLD * size.min() // 100)) if n_items else 0
+    sketched = np.flatnonzero(sketch)
     # a first look by the low 20 bits: nearly all shingles go no further
     maybe = np.zeros(1 << 20, bool)
-    maybe[(h & U((1 << 20) - 1)).astype(np.int64)] = True
-    packed = texts.sparkSession.sparkContext.broadcast((h, sketch, item_no, size, maybe))
+    maybe[(h[sketched] & U((1 << 20) - 1)).astype(np.int64)] = True
+    packed = texts.sparkSession.sparkContext.broadcast((h, item_no, h[sketched], item_no[sketched], size, maybe))
     kind = names.type
 
+    def met(row: np.ndarray, value: np.ndarray, n_rows: int, known: np.ndarray, owner: np.ndarray, n_items: int) -> np.ndarray:
+        """A number row * n_items + item for each distinct shingle that a row and an item share."""
+        value, counts = distinct_sets(row, value, n_rows)
+        lo, hi = np.searchsorted(known, value, "left"), np.searchsorted(known, value, "right")
+        n = hi - lo
+        posting = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(np.repeat(np.arange(n_rows), counts), n) * n_items + owner[posting]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, sketch, item_no, size, maybe = packed.value
+        h, item_no, sketch, sketch_no, size, maybe = packed.value
+        items = max(1, len(size))
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in pieces(offsets):
                 row, value = document_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], short)
                 near = maybe[(value & U((1 << 20) - 1)).astype(np.int64)]
-                value, counts = distinct_sets(row[near], value[near], b - a)
-                row = np.repeat(np.arange(b - a), counts)
-                lo, hi = np.searchsorted(h, value, "left"), np.searchsorted(h, value, "right")
-                n = hi - lo
-                # a posting for each item that has the shingle
-                posting = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pair = np.repeat(row, n) * max(1, len(size)) + item_no[posting]
-                candidates = np.unique(pair[sketch[posting]])
-                pair, shared = np.unique(pair[np.isin(pair, candidates)], return_counts=True)
-                doc, item = pair // max(1, len(size)), pair % max(1, len(size))
+                candidates = np.unique(met(row[near], value[near], b - a, sketch, sketch_no, items))
+                if not len(candidates):
+                    continue
+                # all shingles of the rows that have a candidate
+                has = np.zeros(b - a, bool)
+                has[candidates // items] = True
+                pair, shared = np.unique(met(row[has[row]], value[has[row]], b - a, h, item_no, items), return_counts=True)
+                chosen = np.isin(pair, candidates)
+                pair, shared = pair[chosen], shared[chosen]
+                doc, item = pair // items, pair % items
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc").take(pa.array(doc)), names.take(pa.array(item)), pa.array(size[item], pa.int64()), pa.array(shared, pa.int64())],
