@@ -1,14 +1,22 @@
 """HTML extraction: two-pass block rules for the main text of a page.
 
-Markup is cut into blocks at block-level tags.  Pass one looks at each block
-alone: blocks in menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments are boilerplate, as are blocks that are mostly links; long
-blocks rich in stop words are text; if the page marks its article, blocks
-outside it are boilerplate and long blocks inside it text.  Other blocks stay
-open.  Pass two gives each open block the label of the nearest decided block
-before or after it; where the two differ, the nearer one's, on a tie text for
-headings and near-good blocks only; without any decided block, text inside a
-marked article and boilerplate elsewhere.
+Markup is cut into blocks at block-level tags.  Containers of boilerplate (menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments) are told by
+tag, role and whole parts of class names and ids; if the page marks its article,
+all outside of it is boilerplate too.  The other blocks are judged by their text.
+
+Pass one looks at each block alone.  A block that is mostly links is bad.  Blocks
+under ``SHORT`` characters stay open, headings near good.  Of the others, those rich
+in stop words are good, those with some are good if long and near good if not, and
+those with few stay open; where no known language's stop words are frequent in the
+page, long blocks are good and others near good.  Blocks in containers whose name
+only hints at boilerplate (share, related, ...) must be long and rich in stop words.
+
+Pass two gives each open and near good block the label of the nearest decided block
+before or after it; where the two differ, the nearer one's, on a tie text for near
+good blocks.  A heading goes with what follows it.  Inside a marked article the
+blocks judged by their text are asked, not the containers, and a tie, or nobody to
+ask, means text; elsewhere all are asked, and nobody to ask means boilerplate.
 
 Inside a block character references are decoded and white space (Unicode's)
 becomes one space; kept blocks are joined by a blank line in page order.
@@ -25,6 +33,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +48,7 @@ STOP_WORDS = {
 STOPS = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 
 SHORT, LONG = 70, 200  # characters
-STOP_LOW, STOP_HIGH = 0.2, 0.3  # share of stop words
+STOP_LOW, STOP_HIGH = 0.2, 0.3  # share of stop words, in a block and in the page
 LINKED = 0.33  # share of characters in links; in the article, of LINKED_INSIDE
 LINKED_INSIDE = 0.75
 
@@ -49,11 +58,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text never is page text: those of raw text end with the page if
 #: unclosed; of the others, a self-closed or unclosed one has nothing in it.
 RAW = "script|style|textarea|title"
-HIDDEN = "noscript|template|svg|math|iframe|object|select|button|canvas|audio|video"
+HIDDEN = "noscript|template|svg|annotation|annotation-xml|iframe|object|select|button|canvas|audio|video"
 BOILER_TAGS = frozenset("nav aside footer form menu dialog".split())
 HIDDEN_NAMES = frozenset(HIDDEN.split("|"))
-#: ``header`` is a page's header only outside of the article.
-BOILER_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|paywall|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s\d])", re.I)
+#: Parts of class names and ids, fixed values: of boilerplate; of what may be either;
+#: and of names that speak of a layout or of the text itself.
+BOILER_PARTS = re.compile(r"ads?|advert\w*|breadcrumbs?|comments?|cookies?|consent|disqus|disclaimer|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|paywall|popup|promo\w*|sidebar|sponsor\w*|subscribe")
+HINT_PARTS = frozenset("banner header related share sharing social toolbar widget".split())
+OTHER_PARTS = frozenset("article body content entry has hide main no page post show story text with without wrapper".split())
 BOILER_ROLE = re.compile(r"banner|navigation|complementary|contentinfo|search|dialog|alert|form", re.I)
 
 SKIPPED = rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -70,21 +82,37 @@ ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+YES, HINT, NO = 2, 1, 0
+
+
+def _named(value: str) -> int:
+    """What a class or id says: whole parts of names count, and a name that also speaks
+    of a layout or of the text itself at most hints."""
+    found = NO
+    for name in value.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[-_]+", name)]
+        if any(map(BOILER_PARTS.fullmatch, parts)):
+            found = max(found, YES if OTHER_PARTS.isdisjoint(parts) or parts[0] in ("page", "main", "post", "article") and parts[-1] not in OTHER_PARTS else NO)
+        elif not HINT_PARTS.isdisjoint(parts) and OTHER_PARTS.isdisjoint(parts):
+            found = max(found, HINT)
+    return found
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
     if tag in BOILER_TAGS or (tag == "header" and not in_article):
-        return True
+        return YES
+    found = NO
     if attrs and tag not in ("html", "body", "article", "main"):
         for m in ATTRIBUTE.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name == "role":
                 if BOILER_ROLE.fullmatch(value):
-                    return True
+                    return YES
             elif name in ("class", "id"):
-                if BOILER_NAME.search(value):
-                    return True
+                found = max(found, _named(value))
             elif name == "hidden" and value in ("", "hidden") or name == "aria-hidden" and value == "true":
-                return True
-    return False
+                return YES
+    return found
 
 
 def hidden_spans(source: str) -> dict[int, int]:
@@ -101,17 +129,28 @@ def hidden_spans(source: str) -> dict[int, int]:
     return spans
 
 
+@dataclass(slots=True)
+class Block:
+    text: str
+    linked: int  # characters in links
+    heading: bool
+    boiler: bool  # in a container of boilerplate
+    hint: bool  # in one that may be
+    inside: bool  # in the article
+
+
 class Page:
-    """One page's blocks: [text, linked characters, heading, in boilerplate, in article]."""
+    """One page's blocks."""
 
     def __init__(self, source: str):
-        self.blocks: list[list] = []
+        self.blocks: list[Block] = []
         self.marked = False
         self.parts: list[str] = []
         self.linked = 0
         self.stack: list[str] = []
         self.open: Counter[str] = Counter()
         self.boiler: list[int] = []  # stack depths at which boilerplate began
+        self.hints: list[int] = []  # and what may be boilerplate
         self.article = self.heading = self.link = 0
         at, spans = 0, hidden_spans(source)
         while m := TOKEN.search(source, at):
@@ -140,7 +179,7 @@ class Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append([text, self.linked, self.heading > 0, bool(self.boiler), self.article > 0])
+                self.blocks.append(Block(text, self.linked, self.heading > 0, bool(self.boiler), bool(self.hints), self.article > 0))
             self.parts.clear()
         self.linked = 0
 
@@ -157,9 +196,9 @@ class Page:
             if not self.boiler:
                 self.article += 1
                 self.marked = True
-        if _boilerplate(tag, attrs, self.article > 0):
+        if named := _boilerplate(tag, attrs, self.article > 0):
             self.flush()
-            self.boiler.append(len(self.stack))
+            (self.boiler if named == YES else self.hints).append(len(self.stack))
         self.heading += tag in HEADING
         self.link += tag == "a"
         self.stack.append(tag)
@@ -173,9 +212,10 @@ class Page:
         while True:
             top = self.stack.pop()
             self.open[top] -= 1
-            if self.boiler and self.boiler[-1] >= len(self.stack):
-                self.flush()
-                self.boiler.pop()
+            for begun in (self.boiler, self.hints):
+                if begun and begun[-1] >= len(self.stack):
+                    self.flush()
+                    begun.pop()
             self.heading -= top in HEADING
             self.link -= top == "a"
             if top in ("article", "main") and self.article and not self.boiler:
@@ -184,71 +224,73 @@ class Page:
                 return
 
 
-def stop_density(text: str) -> float:
-    """The largest share of stop words in any language."""
+def stop_counts(text: str) -> tuple[dict[str, int], int]:
+    """The number of stop words of each language, and of all words."""
     found = LETTERS.findall(text.lower())
-    if not found:
-        return 0.0
-    return max(sum(map(stops.__contains__, found)) for stops in STOPS.values()) / len(found)
+    return {k: sum(map(stops.__contains__, found)) for k, stops in STOPS.items()}, len(found)
 
 
 GOOD, BAD, NEAR, OPEN = 1, -1, 2, 0
 
 
-def first_pass(block: list, marked: bool) -> int:
-    text, linked, heading, boiler, inside = block
-    if boiler or (marked and not inside):
-        return BAD
-    n = len(text)
-    if linked > (LINKED_INSIDE if inside else LINKED) * (n - text.count(" ")):
-        return BAD
-    if heading:
-        return NEAR
-    if n < SHORT:
-        return OPEN
-    if n >= LONG and inside:
-        return GOOD
-    density = stop_density(text)
-    if density >= STOP_HIGH:
-        return GOOD
-    if density >= STOP_LOW:
-        return GOOD if n >= LONG else NEAR
-    return OPEN if inside else BAD
-
-
-def second_pass(labels: list[int], inside: list[bool]) -> list[bool]:
+def first_pass(page: Page) -> list[int]:
+    """The label of each block, from its own text and the page's language."""
+    labels, counts = [], []
+    for b in page.blocks:
+        n, size = len(b.text), len(b.text) - b.text.count(" ")
+        out = b.boiler or (page.marked and not b.inside)
+        bad = out or b.linked > (LINKED_INSIDE if b.inside and not b.hint else LINKED) * size
+        labels.append(BAD if bad else NEAR if b.heading else OPEN)
+        counts.append(None if bad or n < SHORT else stop_counts(b.text))
+    words = sum(c[1] for c in counts if c)
+    known = words and max(sum(c[0][k] for c in counts if c) for k in STOPS) >= STOP_LOW * words
+    for i, (b, c) in enumerate(zip(page.blocks, counts)):
+        if labels[i] != OPEN or not c:
+            continue
+        n = len(b.text)
+        density = max(c[0].values()) / max(1, c[1])
+        if b.hint:
+            labels[i] = GOOD if n >= LONG and density >= STOP_HIGH else BAD
+        elif density >= STOP_HIGH or n >= LONG and (density >= STOP_LOW or not known):
+            labels[i] = GOOD
+        elif density >= STOP_LOW or not known:
+            labels[i] = NEAR
+    return labels
+
+
+def second_pass(page: Page, labels: list[int]) -> list[bool]:
+    """Whether each block is text."""
     n = len(labels)
-    before, after = [(0, n)] * n, [(0, n)] * n  # (label, distance)
+    nobody = (0, n, n)
+    before, after = [nobody] * n, [nobody] * n  # (label, distance, block)
     for order, into in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last = {True: nobody, False: nobody}  # by side of the article's border
         for i in order:
-            if last is not None:
-                into[i] = labels[last], abs(i - last)
-            if labels[i] in (GOOD, BAD):
-                last = i
+            b = page.blocks[i]
+            label, _, at = last[b.inside]
+            into[i] = label, abs(i - at), at
+            if labels[i] in (GOOD, BAD) and not (b.inside and b.boiler):
+                last[b.inside] = labels[i], 0, i
     keep = []
-    for i, label in enumerate(labels):
+    for b, label, x, y in zip(page.blocks, labels, before, after):
         if label in (NEAR, OPEN):
-            near = [x for x in (before[i], after[i]) if x[0]]
-            if inside[i]:  # blocks outside the article don't speak for those inside it
-                near = [x for x in near if x[0] == GOOD] or [(GOOD, 0)]
+            near = [v for v in ((y,) if b.heading and y[0] else (x, y)) if v[0]]
+            tie = GOOD if label == NEAR or b.inside else BAD
             if not near:
-                label = BAD
+                label = GOOD if b.inside else BAD
             elif len(near) == 1 or near[0][0] == near[1][0]:
                 label = near[0][0]
             elif near[0][1] != near[1][1]:
-                label = min(near, key=lambda x: x[1])[0]
+                label = min(near, key=lambda v: v[1])[0]
             else:
-                label = GOOD if label == NEAR else BAD
+                label = tie
         keep.append(label == GOOD)
     return keep
 
 
 def main_text(source: str | None) -> str:
     page = Page(source or "")
-    labels = [first_pass(b, page.marked) for b in page.blocks]
-    keep = second_pass(labels, [b[4] and not b[3] for b in page.blocks])
-    return "\n\n".join(b[0] for b, k in zip(page.blocks, keep) if k)
+    return "\n\n".join(b.text for b, kept in zip(page.blocks, second_pass(page, first_pass(page))) if kept)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
