@@ -11,7 +11,10 @@
    cumulative target shares map it to a source, and the slot's rank among the
    source's slots is the block it takes.  Slots beyond a source's target are
    skipped, and the last few blocks that low discrepancy leaves owing follow.
-4. Slots and block pieces of documents join on (source, block).
+4. Slots and block pieces of documents join on (source, block).  A document's
+   place in the mix is the first slot that takes words of it, in its stream and
+   again in the repetition; ``mixed_rows`` returns the rows dealt and sorted by
+   these places, so that any stretch of its files holds the sources by weight.
 
 A source's stream is summed in two levels, hash buckets and then documents
 inside a bucket, and its slots in two levels too, so no task gathers a source.
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, row_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -44,11 +47,13 @@ INVERSE_PHI = 0.6180339887498949
 def word_count(text: Column | str) -> Column:
     """The number of [^\\x20\\x09-\\x0D]+ in a text; null has 0.
 
-    Words are counted as borders: the first word, and each later one that
-    follows white space, without building the words."""
+    Each run of white space becomes one "\\t\\n", whose "\\n" are counted: only byte
+    searches, and no array of words."""
     text = F.col(text) if isinstance(text, str) else text
     flat = F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))
-    return F.coalesce(F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " +"))), F.lit(0)).cast("long")
+    runs = F.replace(F.replace(flat, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
+    count = F.octet_length(runs) - F.octet_length(F.replace(runs, F.lit("\n"), F.lit(""))) + 1
+    return F.coalesce(F.when(flat == "", F.lit(0)).otherwise(count), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -96,12 +101,14 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     # what is owed to a source when the points end: its last blocks, after all others
     got = counted.groupBy("src_no").agg(F.sum("n").alias("got"))
     owing = plan.join(got, "src_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
-    rest = owing.select("src_no", F.explode(F.sequence("got", F.col("quota") - 1)).alias("rank"), F.lit(slots).cast("long").alias("slot"))
+    rest = owing.select("src_no", "got", F.explode(F.sequence("got", F.col("quota") - 1)).alias("rank")).select("src_no", "rank", (F.col("rank") - F.col("got") + slots).alias("slot"))
     return taken.unionByName(rest)
 
 
 def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For each row of ``df``: ``keep`` columns, size, source_size, target, taken."""
+    """For each row of ``df``: ``keep`` columns, size, source_size, target, taken, and
+    ``slots``: its first slot in its source's stream and in the repetition, null where
+    none takes words of it."""
     # texts are read once: what follows needs their sizes only
     sized = cut(df.select(F.struct(*keep).alias("row"), F.col(id_col).cast("string").alias("key"), F.col(source_col).alias("src"), word_count(text_col).alias("size")), "sized")
     hashed = F.md5(F.concat(F.lit(SEED), F.coalesce("key", F.lit(""))))
@@ -143,7 +150,7 @@ def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str =
     def first(copy: int) -> Column:
         return F.col("at") + F.col("source_size") * copy
 
-    pieces = F.filter(F.array(*[F.struct(first(c).alias("a"), F.least(first(c) + F.col("size"), F.col("words")).alias("z")) for c in range(REPEATS)]), lambda p: p["a"] < p["z"])
+    pieces = F.filter(F.array(*[F.struct(F.lit(c).alias("copy"), first(c).alias("a"), F.least(first(c) + F.col("size"), F.col("words")).alias("z")) for c in range(REPEATS)]), lambda p: p["a"] < p["z"])
     parts = (
         placed.withColumn("piece", F.explode_outer(pieces))
         .withColumn("rank", F.explode_outer(F.when(F.col("piece").isNotNull(), F.sequence(F.floor(F.col("piece.a") / block), F.floor((F.col("piece.z") - 1) / block)))))
@@ -153,30 +160,35 @@ def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str =
     # rows of one source with a size start at different words, so these keys tell rows apart
     return (
         joined.groupBy("src_no", "at", "size", "row", "source_size", "target")
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap"))), F.lit(0)).cast("long").alias("taken"), F.count("*").alias("n"))
+        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap"))), F.lit(0)).cast("long").alias("taken"), *[F.min(F.when(F.col("piece.copy") == c, F.col("slot"))).alias(f"slot_{c}") for c in range(REPEATS)], F.count("*").alias("n"))
         # rows without words start alike: as many as there were
         .withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(F.lit(1)))
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select("row.*", "size", "source_size", "target", "taken")
+        .select("row.*", "size", "source_size", "target", "taken", F.array(*[f"slot_{c}" for c in range(REPEATS)]).alias("slots"))
     )
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded to
-    whole documents (a half counts up); rows without words don't take part, and
-    rows with one doc_id and text are taken equally often, as the most taken.
-
-    The mix works on sizes; its decisions then meet the rows once."""
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    taken = mix(keyed, ["doc_id", "_text"]).where("size > 0")
+    """The rows of ``docs`` in the order of the mix, each as often as the mix takes its
+    words, rounded to whole documents (a half counts up); rows without words don't
+    take part, and rows with one doc_id and text are taken equally often, as the most
+    taken.
+
+    The mix works on sizes; its decisions and slots then meet the rows, which go to
+    their place by a range of slots."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    taken = mix(keyed, ["_key"]).where("size > 0")
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))
-    decided = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).agg(F.max(times).alias("_times")).where("_times > 0")
-    found = keyed.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")))
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    decided = taken.groupBy("_key").agg(F.max(times).alias("_times"), *[F.min(F.col("slots")[c]).alias(f"_slot_{c}") for c in range(REPEATS)]).where("_times > 0")
+    # a document that is rounded up to a time more takes its last slot again
+    place = F.coalesce(*[F.when(F.col("_time") >= c, F.col(f"_slot_{c}")) for c in reversed(range(REPEATS))], *[f"_slot_{c}" for c in range(REPEATS)])
+    found = keyed.join(decided, "_key").withColumn("_time", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
+    return found.withColumn("_place", place).repartitionByRange("_place", "_key").sortWithinPartitions("_place", "_key").select(*docs.columns)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), ["doc_id"])
+    mixed = mix(documents(spark, sf_dir), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
 
 
 ORACLE = """
@@ -200,12 +212,38 @@ targets as (
          case when free then weight * (select unit from freed where free order by cap / weight, src_no limit 1) else cap end as target
   from freed),
 placed as (
-  select doc_id, size, source_size, target,
+  select row_number() over () as rid, doc_id, src_no, size, source_size, target, floor(target)::bigint as goal,
          coalesce(sum(size) over (partition by src_no order by md5('mix:' || coalesce(doc_id::varchar, '')), doc_id::varchar, size
                                   rows between unbounded preceding and 1 preceding), 0)::bigint as pos
-  from sized join targets on sized.source is not distinct from targets.source)
+  from sized join targets on sized.source is not distinct from targets.source),
+blocks as (select greatest(1, least(4096, floor(sum(source_size) * 1.5)::bigint // 200000)) as block from sizes),
+shares as (
+  select src_no, ceil(floor(target)::bigint / block)::bigint as quota,
+         case when src_no = max(src_no) over () then 1.0::double else sum(target) over (order by src_no) / sum(target) over () end as hi
+  from targets, blocks),
+ends as (select src_no, quota, hi, coalesce(lag(hi) over (order by src_no), 0.0) as lo from shares),
+points as (
+  select i as slot, (i + 1) * 0.6180339887498949::double - floor((i + 1) * 0.6180339887498949::double) as u
+  from (select unnest(range((select sum(quota)::bigint from ends))) as i)),
+ranked as (
+  select src_no, quota, slot, row_number() over (partition by src_no order by slot) - 1 as rank
+  from points join ends on u >= lo and u < hi and quota > 0),
+owing as (
+  select src_no, quota, (select count(*) from ranked r where r.src_no = e.src_no) as got from ends e),
+slots as (
+  select src_no, rank, slot from ranked where rank < quota
+  union all
+  select src_no, rank, rank - got + (select sum(quota)::bigint from ends) as slot
+  from (select src_no, got, unnest(range(got, quota)) as rank from owing where got < quota)),
+pieces as (
+  select rid, src_no, pos + c * source_size as a, least(pos + c * source_size + size, goal) as z
+  from placed, (select unnest([0, 1]) as c)),
+taking as (
+  select rid, min(slot)::bigint as first_slot
+  from (select rid, src_no, unnest(range(a // block, (z - 1) // block + 1)) as rank from pieces, blocks where a < z)
+  join slots using (src_no, rank) group by rid)
 select doc_id, size, source_size, target,
-       (greatest(0, least(pos + size, floor(target)::bigint) - pos)
-        + greatest(0, least(pos + source_size + size, floor(target)::bigint) - (pos + source_size)))::bigint as taken
-from placed
+       (greatest(0, least(pos + size, goal) - pos)
+        + greatest(0, least(pos + source_size + size, goal) - (pos + source_size)))::bigint as taken, first_slot
+from placed left join taking using (rid)
 """
