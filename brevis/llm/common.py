@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
@@ -36,14 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     fs, p = hadoop_path(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
+    for folders in _scratch[-1:]:
+        folders.append(path)
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Shared folders that are made inside go at the end: for what writes its result
+    to a folder made before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
+def cut(df: DataFrame, name: str = "cut", folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives lost executors."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
+    folder = folder or shared_dir(spark)
     df.write.parquet(f"{folder}/{name}")
     out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     out.cut_folder = folder
@@ -56,6 +74,11 @@ def discard(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.cut_folder)
 
 
+def row_key(doc: str, text: str) -> Column:
+    """A hash of a row's doc_id and text, nulls told apart from other values."""
+    return F.xxhash64(F.col(doc).isNull(), doc, F.col(text).isNull(), text)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -244,6 +267,29 @@ def in_bitmap(found: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ((found[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+#: Bits of the fixed-size filter that spares rows without a partner (8 MB).
+FILTER_BITS = 1 << 26
+
+
+def rows_with_keys(lists: DataFrame, kept: DataFrame, column: str, key: str) -> DataFrame:
+    """(``key``, node) of the rows of ``lists`` (node, ``column``: an array of keys)
+    whose key is in the table ``kept``, with the latter's other columns.
+
+    A filter of a fixed size spares other keys the way to the join, which adaptive
+    execution splits where a key is very common."""
+    sent = lists.sparkSession.sparkContext.broadcast(bitmap(kept.select(key), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(1)
+            flat = keys.flatten().to_numpy()
+            node = np.repeat(batch.column(0).to_numpy(), keys.value_lengths().to_numpy())
+            keep = in_bitmap(sent.value, flat.view(U))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(node[keep])], names=[key, "node"])
+
+    return lists.select("node", column).mapInArrow(run, f"{key} long, node long").join(kept, key)
+
+
 def distinct_sets(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each of n rows, one after the other, and their counts."""
     order = np.lexsort((value, row))

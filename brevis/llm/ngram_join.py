@@ -20,23 +20,28 @@ empty, for which this proves nothing, also signs with its single shingles, the
 finest partition, of which a quarter plus one suffice.
 
 Sets are identified by a 64-bit hash, so exact copies are one node and sign once
-a task.  Nodes that share a signature meet in two rounds.  First each node is
-paired with its signatures' hubs (a signature's hub is the node whose signatures
-are shared most), so that variants of one text meet through it; the pairs are
-verified by exact intersection and the links' components found.  Then, in
-signatures that still hold several components, nodes of different components are
-compared, block by block, so that a task holds two blocks of ``BLOCK`` nodes at
-most of a signature that many share.  In both rounds a parity sketch decides first: each set keeps a bit a
-bucket, the parity of its elements there, over two to four buckets an element,
-and two sets whose sketches differ in more bits than their sets may differ in
-elements don't become a pair.  A node takes its sketch to its signatures folded
-to ``BRIEF`` words; pairs that this lets pass meet the whole sketches.  After
-that every pair that shares a signature is verified, excluded or in one
-component, so the components are exact.  Nothing is collected or cut off.
+a task.  A signature that several nodes have gets a hub, the greatest of them, and
+(node, hub) is all that is kept of it: a node goes to a hub once however many
+signatures lead it there.  Nodes meet in two rounds.  First each is paired with its
+hubs, so that variants of one text meet through one of them; the pairs are verified
+by exact intersection and the links' components found.  Then the nodes of the hubs
+of one component are a group, and in groups that hold several components nodes of
+different ones are compared, in blocks of ``BLOCK`` nodes; blocks of the group's
+largest component meet those of the others only.  In both rounds a parity sketch
+decides first: each set keeps a bit a bucket, the parity of its elements there, over
+four to eight buckets an element, and two sets whose sketches differ in more bits
+than their sets may differ in elements don't become a pair.  Whole sketches meet
+inside the block, so only links and pairs just short of one leave it.  After that
+every pair that shares a signature is verified, excluded or in one component, so the
+components are exact.  Nothing is collected or cut off.
+
+Texts are cut into shingles twice, once for sets' hashes, sketches and counts and
+once for signatures, and those of pairs to be verified once more.
 
 Defined results: repeated rows are copies; a null text has an empty set; a null
 doc_id never is a component's id unless there is no other; an empty table gives
-an empty result; other input columns are ignored.
+an empty result; other input columns are ignored.  Shingles and sets are compared
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,22 +50,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, distinct_sets, documents, lists, mix, pieces, shingles, utf8
+from .common import FILTER_BITS, U, bitmap, cut, discard, distinct_sets, documents, first_seen, in_bitmap, lists, mix, pieces, row_key, rows_with_keys, shingles, utf8
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 RATIO = 4
-#: Bits of the fixed-size filter that spares sets without a candidate (8 MB).
-FILTER_BITS = 1 << 26
 #: Shingles are counted by the low bits of their hash, in a table of 2 MB.
 COUNTERS = 1 << 18
 #: Nodes of one signature that are compared with each other in a task, about.
 BLOCK = 1024
-BRIEF = 16
 #: Groups of so many nodes are compared many at a time.
 FEW = 48
 
@@ -79,10 +81,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def sketches(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parity sketches of the rows' sets, one after the other, and their
-    lengths in 64-bit words: the least power of two with two bits an element."""
+    lengths in 64-bit words: the least power of two with four bits an element."""
     width = np.ones(len(count), np.int64)
     for k in range(1, 40):
-        width[2 * count > 64 << (k - 1)] = 1 << k
+        width[4 * count > 64 << (k - 1)] = 1 << k
     bits = width * 64
     first = np.repeat(np.cumsum(bits) - bits, count)
     cell = first + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & np.repeat(bits - 1, count).astype(U)).astype(np.int64)
@@ -166,51 +168,48 @@ def _first(owner: np.ndarray, sign: np.ndarray, common: np.ndarray, most: np.nda
 
 
 def _node_table(texts: DataFrame) -> DataFrame:
-    """(doc, n_shingles, node, sketch, brief) for each row; sketches once a task and node."""
+    """(doc, key, n_shingles, node, sketch) for each row, the sketch for the first of
+    a node in a task only; and rows (slot, n): the task's shingles by their low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        total = np.zeros(COUNTERS, np.int64)
+        kind = None
         for batch in batches:
+            kind = batch.schema.field("doc").type
             data, offsets = utf8(batch.column("text"))
             for a, b in pieces(offsets):
                 h, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                fresh = np.array([n > 0 and x not in seen and not seen.add(x) for n, x in zip(count.tolist(), node.tolist())], bool)
+                total += np.bincount((h & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                fresh = np.zeros(b - a, bool)
+                fresh[first_seen(node, seen)] = True
+                fresh &= count > 0
                 words, width = sketches(h[np.repeat(fresh, count)], count[fresh])
                 sizes = np.zeros(b - a, np.int64)
                 sizes[fresh] = width
-                sketch = lists(words.view(np.int64), sizes, pa.int64())
-                at = np.cumsum(width) - width
-                briefs = [folded(words[x : x + w], BRIEF) for x, w in zip(at, width)]
-                sizes = np.zeros(b - a, np.int64)
-                sizes[fresh] = np.minimum(width, BRIEF)
-                brief = lists(np.concatenate([*briefs, np.empty(0, U)]).view(np.int64), sizes, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64)), sketch, brief], names=["doc", "n_shingles", "node", "sketch", "brief"])
+                none = pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(count, pa.int64()), pa.array(node.view(np.int64)), lists(words.view(np.int64), sizes, pa.int64()), *none],
+                    names=["doc", "key", "n_shingles", "node", "sketch", "slot", "n"],
+                )
+        some = np.flatnonzero(total)
+        if len(some):
+            none = [pa.nulls(len(some), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(total[some])], names=["doc", "key", "n_shingles", "node", "sketch", "slot", "n"])
 
-    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, n_shingles long, node long, sketch array<long>, brief array<long>")
+    return texts.mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, key long, n_shingles long, node long, sketch array<long>, slot int, n long")
 
 
-def _shingle_counts(texts: DataFrame) -> np.ndarray:
+def _shingle_counts(table: DataFrame) -> np.ndarray:
     """Over all sets, the number of shingles with each value of the low bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in pieces(offsets):
-                h, _, _ = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total += np.bincount((h & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["slot", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = table.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
-def _signature_table(texts: DataFrame) -> DataFrame:
-    """(sign, node): a list of signatures for each set, once a task."""
-    counts = texts.sparkSession.sparkContext.broadcast(_shingle_counts(texts))
+def _signature_table(texts: DataFrame, counts) -> DataFrame:
+    """(node, signs): a list of signatures for each set, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -219,47 +218,50 @@ def _signature_table(texts: DataFrame) -> DataFrame:
             for a, b in pieces(offsets):
                 h, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 fresh = np.zeros(b - a, bool)
-                for i in np.flatnonzero(count):
-                    key = int(node[i])
-                    if key not in seen:
-                        seen.add(key)
-                        fresh[i] = True
+                fresh[first_seen(node, seen)] = True
+                fresh &= count > 0
                 h, count, node = h[np.repeat(fresh, count)], count[fresh], node[fresh]
                 owner, sign = signatures(h, count, counts.value)
                 order = np.argsort(owner, kind="stable")
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists(sign[order].view(np.int64), np.bincount(owner, minlength=len(count)), pa.int64())], names=["node", "signs"])
 
-    return texts.mapInArrow(run, "node long, signs array<long>").select(F.explode("signs").alias("sign"), "node")
+    return texts.select("text").mapInArrow(run, "node long, signs array<long>")
+
 
+def _hubs(signed: DataFrame) -> DataFrame:
+    """(node, hub) of the signatures that several nodes have; the hub itself is a node
+    of its own.
 
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with a bit for each node."""
-    place = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    words = nodes.groupBy((F.shiftright(place, 6)).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) & 63 as int))")).alias("x")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["w"].to_numpy()] = words["x"].to_numpy()
-    return out.view(np.uint8)
+    They are found by an aggregation, which combines in the map task, and joined back,
+    so that no task gathers a very common signature."""
+    several = signed.select(F.explode("signs").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("x"), F.max("node").alias("hub")).where("x != hub").select("sign", "hub")
+    several = cut(several, "several")
+    hubs = cut(rows_with_keys(signed, several, "signs", "sign").select("node", "hub").distinct(), "hubs")
+    discard(several)
+    return hubs
 
 
-def _set_table(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the wanted nodes.  A filter of a fixed size spares the
-    others the way to the shuffle; the exact join decides."""
-    sent = texts.sparkSession.sparkContext.broadcast(_bits(wanted))
+def _set_table(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the wanted nodes, from one text of each.  A filter of a fixed
+    size spares the other texts the cutting; the exact join decides."""
+    keys = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(keys, FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = sent.value, set()
+        seen: set[int] = set()
         for batch in batches:
+            batch = batch.take(pa.array(np.flatnonzero(in_bitmap(sent.value, batch.column("key").to_numpy().view(U)))))
             data, offsets = utf8(batch.column("text"))
             for a, b in pieces(offsets):
                 h, count, node = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                place = node & U(FILTER_BITS - 1)
-                keep = (count > 0) & ((bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8)) & 1).astype(bool)
-                for i in np.flatnonzero(keep):
-                    keep[i] = int(node[i]) not in seen
-                    seen.add(int(node[i]))
+                keep = np.zeros(b - a, bool)
+                keep[first_seen(node, seen)] = True
+                keep &= count > 0
                 yield pa.RecordBatch.from_arrays([pa.array(node[keep].view(np.int64)), lists(h[np.repeat(keep, count)].view(np.int64), count[keep], pa.int64())], names=["node", "items"])
 
-    return texts.mapInArrow(run, "node long, items array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(texts.select("text", "key").mapInArrow(run, "node long, items array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sent.destroy()
+    return sets
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -272,15 +274,19 @@ def _likely(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                apart = np.empty(part.num_rows, np.int64)
-                for i, (x, y) in enumerate(zip(part.column("a_s"), part.column("b_s"))):
-                    x, y = (v.values.to_numpy(zero_copy_only=False).view(U) for v in (x, y))
-                    width = min(len(x), len(y))
-                    apart[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()
-                kept = np.flatnonzero(may_link(apart, part.column("a_m").to_numpy(), part.column("b_m").to_numpy()))
-                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(kept)) for c in "ab"], names=["a", "b"])
+            sides = []
+            for c in ("a_s", "b_s"):
+                width = batch.column(c).value_lengths().to_numpy().astype(np.int64)
+                sides.append((batch.column(c).flatten().to_numpy().view(U), np.cumsum(width) - width, width))
+            (x, x_at, x_width), (y, y_at, y_width) = sides
+            apart = np.zeros(batch.num_rows, np.int64)
+            for own, other in set(zip(x_width.tolist(), y_width.tolist())):
+                rows, least = np.flatnonzero((x_width == own) & (y_width == other)), min(own, other)
+                for part in np.array_split(rows, -(-len(rows) * max(own, other) // (1 << 18))):
+                    u, v = (folded(s[at[part][:, None] + np.arange(n)], least) for s, at, n in ((x, x_at, own), (y, y_at, other)))
+                    apart[part] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
+            kept = pa.array(np.flatnonzero(may_link(apart, batch.column("a_m").to_numpy(), batch.column("b_m").to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(kept) for c in "ab"], names=["a", "b"])
 
     near = _near(F.col("a_m"), F.col("b_m"))
     return pairs.where(near).select("a", "b", "a_m", "b_m", "a_s", "b_s").mapInArrow(run, "a long, b long")
@@ -295,8 +301,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _across(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link, of nodes that share a signature and are of
-    different components, from rows (sign, node, c, m, s)."""
+    """Pairs (a, b) that may link, of nodes of one group and of different
+    components, from rows (hub, node, c, m, s)."""
 
     def pairs(node, c, m, s, width, block, i, j) -> tuple[np.ndarray, np.ndarray]:
         """``s``: the words of all sketches, ``width`` of them a node, one after the other."""
@@ -348,7 +354,7 @@ def _across(placed: DataFrame) -> DataFrame:
         return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["sign", "i", "j", "node", "c", "m", "block", "width"], None
+        names, held = ["hub", "i", "j", "node", "c", "m", "block", "width"], None
 
         def settle(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum(rows["width"])])
@@ -365,78 +371,100 @@ def _across(placed: DataFrame) -> DataFrame:
             rows["s"] = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(U)
             if held is not None:
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-            n = len(rows["sign"])
+            n = len(rows["hub"])
             if not n:
                 continue
             new = np.ones(n, bool)
-            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("sign", "i", "j")], axis=0)
+            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("hub", "i", "j")], axis=0)
             starts = np.flatnonzero(new)
             yield settle(rows, starts)  # all groups but the last, which may go on
             rows["s"] = rows["s"][int(rows["width"][: starts[-1]].sum()) :]
             held = {k: v if k == "s" else v[starts[-1] :] for k, v in rows.items()}
-        if held is not None and len(held["sign"]):
-            yield settle(held, np.array([0, len(held["sign"])]))
-
-    n = placed.groupBy("sign").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(n, "sign").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # block x of k takes part in k pairs of blocks, (least, greatest)
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sign", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", F.size("s").alias("width"), "s")
-    return rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles, component_id for every row of ``docs``."""
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    nodes = cut(_node_table(texts), "nodes")
-    sizes = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("n_shingles").alias("m"))
-    facts = nodes.where("size(sketch) > 0").dropDuplicates(["node"]).select("node", F.col("n_shingles").alias("m"), F.col("sketch").alias("s"), "brief")
-
-    same = Window.partitionBy("sign")
-    shared = _signature_table(texts).withColumn("lo", F.min("node").over(same)).withColumn("hi", F.max("node").over(same)).withColumn("n", F.count("*").over(same)).where("lo != hi").select("sign", "node", "n")
-    shared = cut(shared, "shared")
-    rank = shared.groupBy("node").agg(F.sum("n").alias("rank"))
-    ranked = shared.select("sign", "node").join(rank, "node")
-    hubs = ranked.groupBy("sign").agg(F.max(F.struct("rank", "node")).alias("hub")).select("sign", F.col("hub.node").alias("hub"))
-    first = shared.join(hubs, "sign").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+        if held is not None and len(held["hub"]):
+            yield settle(held, np.array([0, len(held["hub"])]))
+
+    # a group's largest component has blocks of its own, after those of the others
+    sizes = placed.groupBy("hub", "c").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all")).select("hub", F.col("top.c").alias("top"), *[F.ceil(n / BLOCK).cast("int").alias(x) for x, n in (("minor", F.col("all") - F.col("top.n")), ("major", F.col("top.n")))])
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("c") == F.col("top"), F.col("major")).otherwise(F.col("minor"))).cast("int")
+    rows = placed.join(sizes, "hub").withColumn("block", own + F.when(F.col("c") == F.col("top"), F.col("minor")).otherwise(0))
+    others = F.when(F.col("c") == F.col("top"), F.col("minor")).otherwise(F.col("minor") + F.col("major"))
+    # a block meets others in pairs of blocks, (least, greatest)
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1)))
+    rows = rows.select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", F.size("s").alias("width"), "s")
+    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
+def _node_components(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, n_shingles, node) for each row of texts (doc, key, text), and
+    (node, component) of the nodes that link with others."""
+    spark = texts.sparkSession
+    table = cut(_node_table(texts), "nodes")
+    nodes = table.where("slot is null")
+    counts = spark.sparkContext.broadcast(_shingle_counts(table))
+    signed = cut(_signature_table(texts, counts), "signed")
+    counts.destroy()
+    hubs = _hubs(signed)
+    discard(signed)
+    facts = nodes.where("size(sketch) > 0").select("node", F.col("n_shingles").alias("m"), F.col("sketch").alias("s"))
+    facts = cut(facts.join(hubs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "facts")
+    first = hubs.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
     def side(x: str) -> DataFrame:
         return facts.select(F.col("node").alias(x), F.col("m").alias(f"{x}_m"), F.col("s").alias(f"{x}_s"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = cut(pairs, f"{name}_pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return cut(_linked(pairs, _set_table(texts, wanted)), f"{name}_links")
+        sets = _set_table(texts, nodes.where("n_shingles > 0").select("node", "key"), wanted)
+        links = cut(_linked(pairs, sets), "links")
+        discard(sets)
+        return links
+
+    likely = cut(_likely(first.join(side("a"), "a").join(side("b"), "b")), "likely")
+    links = verified(likely)
+    known = components(links)
+
+    # groups that still hold several components: across them
+    of_hub = known.select(F.col("node").alias("hub"), F.col("component").alias("h"))
+    placed = hubs.join(known, "node", "left").join(of_hub, "hub", "left").select(F.coalesce("h", "hub").alias("hub"), "node", F.coalesce("component", "node").alias("c")).distinct()
+    placed = cut(placed, "placed")
+    several = placed.groupBy("hub").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("hub")
+    across = cut(_across(placed.join(several, "hub").join(facts, "node")).join(likely, ["a", "b"], "left_anti"), "across")
+    discard(hubs, facts, placed, likely)
+    more = verified(across)
+    found = components(links.unionByName(more))
+    discard(links, more, across, known)
+    return nodes.select("doc", "key", "n_shingles", "node"), found
 
-    links = verified(_likely(first.join(side("a"), "a").join(side("b"), "b")), "first")
-    known = cut(components(links), "known")
-
-    # signatures that still hold several components: across them
-    placed = shared.select("sign", "node").join(known, "node", "left").select("sign", "node", F.coalesce("component", "node").alias("c"))
-    several = placed.groupBy("sign").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("sign")
-    placed = cut(placed.join(several, "sign", "left_semi").distinct(), "placed")
-    across = cut(_across(placed.join(facts.select("node", "m", F.col("brief").alias("s")), "node")), "across")
-    found = components(links.unionByName(verified(_likely(across.join(side("a"), "a").join(side("b"), "b")), "second")))
 
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_shingles, component_id for every row of ``docs``."""
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    nodes, found = _node_components(texts)
     # a component's id is the least doc of its nodes; a node's, the least of its copies
-    named = sizes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
+    least = nodes.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("least"))
+    named = least.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("node", "component_id")
     some, none = nodes.where("n_shingles > 0").join(named, "node"), nodes.where("n_shingles = 0").withColumn("component_id", F.col("doc"))
     return some.unionByName(none).select(F.col("doc").alias(id_col), "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the one with the least doc_id, of each component.
-    Of repeated rows of that doc_id the first by text stays; rows without doc_id stay."""
-    found = join(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 and doc_id is not null").select("doc_id")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return once.unionByName(several).unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each component: that with the least doc_id (null last),
+    of several with that doc_id the first by a hash of the text.  Rows without words
+    stay, all of them."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    nodes, found = _node_components(keyed.select(F.col("doc_id").alias("doc"), F.col("_key").alias("key"), "text"))
+    rank = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("key").alias("key"))
+    firsts = nodes.where("n_shingles > 0").groupBy("node").agg(F.min(rank).alias("first"))
+    firsts = firsts.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first"))
+    copies = nodes.groupBy("key").agg(F.count("*").alias("_copies"))
+    kept = firsts.select(F.col("first.key").alias("key"), F.lit(True).alias("_one")).unionByName(nodes.where("n_shingles = 0").select("key", F.lit(False).alias("_one")).distinct())
+    kept = cut(kept.join(copies, "key").withColumnRenamed("key", "_key"), "kept")
+    once = keyed.join(kept.where("_copies = 1 or not _one"), "_key", "left_semi")
+    # equal rows of one key: few, and combined in the map task
+    several = keyed.join(kept.where("_copies > 1 and _one"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(several).select(*docs.columns)
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
