@@ -94,11 +94,13 @@ def seeded_order(seed: int, *parts: Column | str) -> Column:
 
 
 def basic_value(x: Column) -> dict[str, Column]:
-    """A configuration text as integer, float or boolean where it reads as one; ``kind`` names the first that fits."""
+    """A configuration text as integer, float or boolean where it reads as one; ``kind``
+    names the first that fits; as text, without the quotes at its ends, which keep
+    white space that belongs to it."""
     t = strip(x)
     as_int, as_float = t.try_cast("bigint"), t.try_cast("double")
-    as_bool = F.when(F.lower(t).isin("true", "false"), F.lower(t) == "true")
+    as_bool = F.when(t.isin("True", "true", "False", "false"), F.lower(t) == "true")
     as_int = F.when(t.rlike(r"^[+-]?\d+$"), as_int)
     as_float = F.when(t.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"), as_float)
     kind = F.when(as_int.isNotNull(), "int").when(as_float.isNotNull(), "float").when(as_bool.isNotNull(), "bool").otherwise("str")
-    return {"kind": kind, "as_int": as_int, "as_float": as_float, "as_bool": as_bool, "as_text": t}
+    return {"kind": kind, "as_int": as_int, "as_float": as_float, "as_bool": as_bool, "as_text": F.regexp_replace(F.regexp_replace(x, "^[\"']+", ""), "[\"']+$", "")}

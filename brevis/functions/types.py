@@ -15,6 +15,6 @@ def struct(**fields: DataType) -> StructType:
 
 SCORES = struct(p=DoubleType(), r=DoubleType(), f=DoubleType())
 SPANS = ArrayType(struct(lo=IntegerType(), hi=IntegerType()))
-LINES = ArrayType(struct(chap=IntegerType(), sub=IntegerType(), ord=IntegerType(), text=StringType()))
+LINES = ArrayType(struct(chap=IntegerType(), sub=IntegerType(), ord=IntegerType(), id=StringType(), text=StringType()))
 PARSED = struct(status=StringType(), lines=LINES)
 MATCH = struct(picks=ArrayType(struct(idx=IntegerType(), f=DoubleType(), p=DoubleType(), r=DoubleType())), target=StringType())

@@ -29,34 +29,65 @@ def least_words(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 # ------------------------------------------------------------ ranks and splits
-def ranked(df: DataFrame, order: Column, name: str = "rank", digits: int = 3) -> DataFrame:
-    """A global rank from 0 by ``order``, a hexadecimal hash, and the number ``n``
-    of rows.  Rows are ranked inside buckets of the hash's first digits, and the
-    buckets' counts summed up, so that no task sorts the whole table."""
+#: Rows of a bucket that are ranked together, about.
+BUCKET_ROWS = 65_536
+#: Buckets of one step of a search for a rank.
+STEP = 4096
+
+
+def ranked(df: DataFrame, order: Column, name: str = "rank") -> tuple[DataFrame, int]:
+    """A global rank from 0 by ``order``, a hexadecimal hash, and the number of rows.
+
+    Rows are ranked inside buckets of the hash's first digits, as many as the number of
+    rows asks for, and the buckets' counts summed up, so that no task sorts the whole
+    table; the table of buckets has a row for some thousands of rows."""
+    n, digits = df.count(), 0
+    while n > BUCKET_ROWS * 16**digits:
+        digits += 1
     keyed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, digits))
     counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    by_bucket = Window.orderBy("_bucket")  # 16 ** digits rows at most
-    offsets = counts.select("_bucket", (F.sum("_n").over(by_bucket) - F.col("_n")).alias("_base"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_base"))
     inside = Window.partitionBy("_bucket").orderBy("_order")
-    return keyed.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_base") + F.col("_in")).drop("_order", "_bucket", "_in", "_base")
+    found = keyed.withColumn("_in", F.row_number().over(inside) - 1).join(offsets, "_bucket")
+    return found.withColumn(name, F.col("_base") + F.col("_in")).drop("_order", "_bucket", "_in", "_base"), n
 
 
 def split(df: DataFrame, key: str, seed: int = 123, train: float = 0.7, val: float = 0.1) -> DataFrame:
     """A seeded split: int(train n) rows train, int(val n) rows val, the rest test."""
-    r = ranked(df, T.seeded_order(seed, key))
-    n_train, n_val = F.floor(F.lit(train) * F.col("n")), F.floor(F.lit(val) * F.col("n"))
+    r, n = ranked(df, T.seeded_order(seed, key))
+    n_train, n_val = int(train * n), int(val * n)
     name = F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_val, "val").otherwise("test")
-    return r.withColumn("split", name).drop("rank", "n")
+    return r.withColumn("split", name).drop("rank")
 
 
 def sample(df: DataFrame, key: str, fraction: float, seed: int = 123) -> DataFrame:
     """Exactly int(n fraction) rows without replacement."""
-    return ranked(df, T.seeded_order(seed, key)).where(F.col("rank") < F.floor(F.col("n") * fraction)).drop("rank", "n")
+    r, n = ranked(df, T.seeded_order(seed, key))
+    return r.where(F.col("rank") < int(n * fraction)).drop("rank")
 
 
 def head(df: DataFrame, key: str, divisor: int) -> DataFrame:
-    """The first n div ``divisor`` rows by ``key``: a debugging slice."""
-    return ranked(df, F.lpad(F.hex(F.col(key).cast("long")), 16, "0"), digits=13).where(F.col("rank") < F.floor(F.col("n") / divisor)).drop("rank", "n")
+    """The first n div ``divisor`` rows by ``key``, a whole number (null last): a
+    debugging slice.
+
+    The last key is searched for: each step counts the rows of ``STEP`` ranges of keys
+    and goes on in the one where the slice ends.  All rows below that range are taken by
+    comparison, and only the few rows in it are sorted."""
+    x = F.col(key).cast("long")
+    n, known, lo, hi = df.agg(F.count("*"), F.count(x), F.min(x), F.max(x)).first()
+    left = n // divisor
+    if left >= known:
+        return df.where(x.isNotNull()).unionByName(df.where(x.isNull()).limit(left - known))
+    while True:
+        width = -(-(hi - lo + 1) // STEP)
+        counts = df.where(x.between(lo, hi)).groupBy(F.floor((x - lo) / width).alias("b")).count().collect()  # STEP rows at most
+        for b, rows in sorted(map(tuple, counts)):
+            if left < rows:
+                lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+                break
+            left -= rows
+        if rows <= BUCKET_ROWS or width == 1:
+            return df.where(x < lo).unionByName(df.where(x.between(lo, hi)).orderBy(x).limit(left))
 
 
 # -------------------------------------------------------------------- shapes

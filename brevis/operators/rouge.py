@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,33 +25,34 @@ def f_measure(p: float, r: float) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
+def counts_f(x: Counter, y: Counter) -> float:
+    n, m = x.total(), y.total()
+    return 2 * (x & y).total() / (n + m) if n and m else 0.0
+
+
 def rouge1_f(a: str, b: str) -> float:
-    x, y = Counter(tokens(a)), Counter(tokens(b))
-    n, m = sum(x.values()), sum(y.values())
-    if not n or not m:
-        return 0.0
-    both = sum(min(k, y[t]) for t, k in x.items())
-    return 2 * both / (n + m)
+    return counts_f(Counter(tokens(a)), Counter(tokens(b)))
 
 
-def common_count(x: Column, y: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    def hits(array: Column, t: Column) -> Column:
-        return F.size(F.filter(array, lambda u: u == t))
+def common_grams(a: str, b: str, n: int) -> tuple[int, int, int]:
+    """The n-grams that two texts have in common, each as often as in both, and their
+    numbers; linear in the texts' length."""
+    x, y = ([tuple(t[i : i + n]) for i in range(len(t) - n + 1)] for t in (tokens(a), tokens(b)))
+    return (Counter(x) & Counter(y)).total(), len(x), len(y)
 
-    return T.let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.aggregate(F.array_intersect(s["x"], s["y"]), F.lit(0), lambda n, t: n + F.least(hits(s["x"], t), hits(s["y"], t))))
 
+def rouge_n(hypothesis: Column, reference: Column, n: int = 1) -> Column:
+    """struct<p,r,f> of clipped n-gram counts; 0 where undefined."""
 
-def rouge_n(hypothesis: Column, reference: Column, n: int = 1) -> tuple[Column, Column, Column]:
-    """Precision, recall and F of clipped n-gram counts; 0 where undefined."""
-    x, y = T.ngrams(T.rouge_tokens(hypothesis), n), T.ngrams(T.rouge_tokens(reference), n)
-    both = common_count(x, y)
-    zero = F.lit(0.0)
-    return (
-        F.coalesce(F.try_divide(both, F.size(x)), zero),
-        F.coalesce(F.try_divide(both, F.size(y)), zero),
-        F.coalesce(F.try_divide(2.0 * both, F.size(x) + F.size(y)), zero),
-    )
+    @F.pandas_udf(SCORES)
+    def scores(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(hypothesis, reference):
+            both, x, y = common_grams(a or "", b or "", n)
+            out.append((both / x if x else 0.0, both / y if y else 0.0, 2.0 * both / (x + y) if x + y else 0.0))
+        return pd.DataFrame(out, columns=["p", "r", "f"])
+
+    return scores(hypothesis, reference)
 
 
 def set_rouge(segment: Column, summary: Column, n: int = 1) -> Column:
@@ -65,36 +68,40 @@ def set_rouge(segment: Column, summary: Column, n: int = 1) -> Column:
     return T.let(F.struct(grams[0].alias("x"), grams[1].alias("y")), scores)
 
 
-def lcs_table(x: list[str], y: list[str]) -> list[list[int]]:
-    rows = [[0] * (len(y) + 1)]
-    for a in x:
-        last, row = rows[-1], [0]
-        for j, b in enumerate(y):
-            row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
-        rows.append(row)
-    return rows
-
-
-def lcs_length(x: list[str], y: list[str]) -> int:
-    """Length of the longest common subsequence, a bit a token of ``y``."""
+def lcs_rows(x: list[str], y: list[str]) -> list[int]:
+    """For each prefix of ``x`` a bit vector over ``y`` (Hyyro's): the longest common
+    subsequence with the first j tokens of ``y`` is as long as there are zeros among
+    the low j bits."""
     at: dict[str, int] = {}
     for j, b in enumerate(y):
         at[b] = at.get(b, 0) | 1 << j
-    full, v = (1 << len(y)) - 1, (1 << len(y)) - 1
+    full = (1 << len(y)) - 1
+    rows = [full]
     for a in x:
+        v = rows[-1]
         u = v & at.get(a, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(y) - v.bit_count()
+        rows.append(((v + u) | (v - u)) & full)
+    return rows
+
+
+def lcs_length(x: list[str], y: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    return len(y) - lcs_rows(x, y)[-1].bit_count()
 
 
 def lcs_places(x: list[str], y: list[str]) -> set[int]:
-    """Places in ``y`` of one longest common subsequence."""
-    rows, i, j, out = lcs_table(x, y), len(x), len(y), set()
+    """Places in ``y`` of one longest common subsequence: from the ends backwards, equal
+    tokens are taken, else the prefix of ``x`` is shortened if that costs nothing."""
+    rows, i, j, out = lcs_rows(x, y), len(x), len(y), set()
+
+    def level(i: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
     while i and j:
         if x[i - 1] == y[j - 1]:
             i, j = i - 1, j - 1
             out.add(j)
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+        elif level(i - 1) == level(i):
             i -= 1
         else:
             j -= 1
@@ -139,15 +146,42 @@ def rouge_lsum(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
 def pair_scores(df: DataFrame, hypothesis: str, reference: str, kinds=("1", "2", "L", "Lsum")) -> DataFrame:
     """Columns rouge{kind}_{precision,recall,fmeasure} of each pair."""
     for kind in kinds:
-        if kind.isdigit():
-            p, r, f = rouge_n(F.col(hypothesis), F.col(reference), int(kind))
-        else:
-            df = df.withColumn(f"_{kind}", (rouge_l if kind == "L" else rouge_lsum)(hypothesis, reference))
-            p, r, f = (F.col(f"_{kind}.{c}") for c in "prf")
+        score = rouge_n(F.col(hypothesis), F.col(reference), int(kind)) if kind.isdigit() else (rouge_l if kind == "L" else rouge_lsum)(hypothesis, reference)
+        df = df.withColumn(f"_{kind}", score)
+        p, r, f = (F.col(f"_{kind}.{c}") for c in "prf")
         df = df.withColumn(f"rouge{kind}_precision", p).withColumn(f"rouge{kind}_recall", r).withColumn(f"rouge{kind}_fmeasure", f)
     return df.drop(*[f"_{k}" for k in kinds])
 
 
+Similarity = Callable[[list[str], list[str]], np.ndarray]  # of each token of two texts
+
+
+def same_token(x: list[str], y: list[str]) -> np.ndarray:
+    """Similarity 1 of equal tokens, 0 of others: the cosine of one-hot vectors."""
+    places = {t: i for i, t in enumerate(dict.fromkeys(x + y))}
+    a, b = (np.array([places[t] for t in s]) for s in (x, y))
+    return (a[:, None] == b[None]).astype(np.float64)
+
+
+def embedding_scores(hypothesis: Column, reference: Column, similarity: Similarity = same_token) -> Column:
+    """struct<p,r,f> of greedily matched tokens: each token counts as its best similarity
+    on the other side.  A neural scorer plugs in as ``similarity``."""
+
+    @F.pandas_udf(SCORES)
+    def scores(hypothesis: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(hypothesis, reference):
+            x, y = tokens(a or ""), tokens(b or "")
+            p = r = 0.0
+            if x and y:
+                found = similarity(x, y)
+                p, r = float(found.max(1).mean()), float(found.max(0).mean())
+            out.append((p, r, f_measure(p, r)))
+        return pd.DataFrame(out, columns=["p", "r", "f"])
+
+    return scores(hypothesis, reference)
+
+
 def corpus_scores(pairs: DataFrame, places: int = 4) -> DataFrame:
     """The mean of each score column over all pairs."""
     return pairs.agg(*[F.round(F.avg(c), places).alias(c) for c in pairs.columns if c.startswith("rouge")])
@@ -156,7 +190,7 @@ def corpus_scores(pairs: DataFrame, places: int = 4) -> DataFrame:
 def greedy_picks(segment: str, summary: list[str], rounds: int = 100) -> list[tuple[int, float, float, float]]:
     """Summary sentences chosen one by one while the set-ROUGE-1 F of their union
     with the segment rises: (place, f, p, r); the first of equals wins.  F is
-    rounded to 6 places before comparison."""
+    rounded to 6 places before comparison.  At most ``rounds`` sentences are chosen."""
     own = set(tokens(segment))
     words = [set(tokens(s)) for s in summary]
     left, have, best, picks = list(range(len(summary))), set(), 0.0, []

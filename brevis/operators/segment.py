@@ -3,6 +3,7 @@ and putting pieces together again."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from brevis.functions import text as T
 from brevis.functions.types import SPANS
-from brevis.operators.rouge import rouge1_f
+from brevis.operators.rouge import counts_f, tokens
 
 #: Deepest level of the minimum-similarity split.
 MAX_DEPTH = 900
@@ -41,34 +42,56 @@ def clean_sentence(s: Column) -> Column:
     return F.replace(F.replace(F.replace(s, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit("")), F.lit("@@ "), F.lit(""))
 
 
-def pack_sentences(df: DataFrame, sentences: str, budget: int = 478, name: str = "segments") -> DataFrame:
+def prompted(segments: Column, prompt: str) -> Column:
+    """Segments that begin with ``prompt``."""
+    return F.transform(segments, lambda s: F.concat(F.lit(prompt), s)) if prompt else segments
+
+
+def pack_sentences(df: DataFrame, sentences: str, budget: int = 478, name: str = "segments", prompt: str = "", query: str | None = None) -> DataFrame:
     """Method 1: sentences, whose lengths count the pieces between single spaces,
-    packed into ``name``, array<string>."""
+    packed into ``name``, array<string>.  ``prompt`` begins each segment; the column
+    ``query``, if given, is a segment of its own before the others."""
     cleaned = F.transform(sentences, clean_sentence)
     df = df.withColumn("_c", cleaned).withColumn("_l", F.transform("_c", T.space_length))
-    return df.withColumn(name, F.transform(pack(F.col("_c"), F.col("_l"), budget), lambda g: T.strip(F.array_join(g, " ")))).drop("_c", "_l")
+    packed = F.transform(pack(F.col("_c"), F.col("_l"), budget), lambda g: T.strip(F.array_join(g, " ")))
+    if query is not None:
+        packed = F.concat(F.array(T.strip(F.col(query))), packed)
+    return df.withColumn(name, prompted(packed, prompt)).drop("_c", "_l")
+
+
+def _counted(items: Column) -> Column:
+    """array<struct<s,n>>: texts with their numbers of words, counted once."""
+    return F.transform(items, lambda s: F.struct(s.alias("s"), T.ws_length(s).alias("n")))
+
+
+def _pack_counted(items: Column, budget: int) -> Column:
+    """Groups of counted texts as counted texts."""
+
+    def joined(g: Column) -> Column:
+        return F.struct(F.array_join(F.transform(g, lambda x: x["s"]), " ").alias("s"), F.aggregate(g, F.lit(0), lambda n, x: n + x["n"]).alias("n"))
+
+    return T.let(items, lambda own: F.transform(pack(own, F.transform(own, lambda x: x["n"]), budget), joined))
 
 
-def _pack_words(items: Column, budget: int) -> Column:
-    return T.let(items, lambda own: F.transform(pack(own, F.transform(own, T.ws_length), budget), lambda g: F.array_join(g, " ")))
+def _texts(counted: Column) -> Column:
+    return F.filter(F.transform(counted, lambda x: T.strip(x["s"])), lambda s: s != "")
 
 
 def pack_paragraphs(df: DataFrame, paragraphs: str, budget: int = 492, name: str = "segments", prompt: str = "") -> DataFrame:
-    """Method 2 over a list of paragraphs: packed by words; empty segments go."""
-    packed = F.filter(F.transform(_pack_words(F.col(paragraphs), budget), T.strip), lambda s: s != "")
-    return df.withColumn(name, F.transform(packed, lambda s: F.concat(F.lit(prompt), s)) if prompt else packed)
+    """Method 2 over a list of paragraphs: packed by words; empty segments go;
+    ``prompt`` begins each segment."""
+    return df.withColumn(name, prompted(_texts(_pack_counted(_counted(F.col(paragraphs)), budget)), prompt))
 
 
-def pack_chapters(df: DataFrame, chapters: str, budget: int = 492, name: str = "segments") -> DataFrame:
+def pack_chapters(df: DataFrame, chapters: str, budget: int = 492, name: str = "segments", prompt: str = "") -> DataFrame:
     """Method 2 over chapters of sub-chapters of lines, array<array<array<string>>>:
     lines into paragraphs of at most ``budget`` words, paragraphs into segments; a
-    chapter's end closes its segment."""
+    chapter's end closes its segment; ``prompt`` begins each segment."""
 
     def chapter(c: Column) -> Column:
-        return _pack_words(F.flatten(F.transform(c, lambda sub: _pack_words(sub, budget))), budget)
+        return _pack_counted(F.flatten(F.transform(c, lambda sub: _pack_counted(_counted(sub), budget))), budget)
 
-    packed = F.flatten(F.transform(chapters, chapter))
-    return df.withColumn(name, F.filter(F.transform(packed, T.strip), lambda s: s != ""))
+    return df.withColumn(name, prompted(_texts(F.flatten(F.transform(chapters, chapter))), prompt))
 
 
 def explode_segments(df: DataFrame, keep: list[str], segments: str = "segments") -> DataFrame:
@@ -117,7 +140,8 @@ def split_min_similarity(df: DataFrame, sentences: str, budget: int = 492, name:
 
 
 def adjacent_rouge1_f(items: list[str]) -> list[float]:
-    return [round(rouge1_f(a, b), 6) for a, b in zip(items, items[1:])]
+    counts = [Counter(tokens(s)) for s in items]  # once a sentence, which is in two pairs
+    return [round(counts_f(a, b), 6) for a, b in zip(counts, counts[1:])]
 
 
 def span_texts(sentences: Column, spans: Column) -> Column:

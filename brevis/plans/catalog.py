@@ -289,8 +289,11 @@ def pack_chapters(spark, sf_dir):
     return segment.explode_segments(segment.pack_chapters(shaped, "chapters", 60), ["doc_id"])
 
 
-SQL_SIMS = f"""
-  sent as (select doc_id, generate_subscripts(sents, 1) - 1 as o, unnest(sents) as s from ({SQL_SENTS})),
+def sql_sims(table: str) -> str:
+    """Common tables that end in sims (doc_id, o, f): ROUGE-1 F of each sentence of
+    ``table`` (doc_id, sents) and the next."""
+    return f"""
+  sent as (select doc_id, generate_subscripts(sents, 1) - 1 as o, unnest(sents) as s from ({table})),
   tok as (select doc_id, o, len(t) as n, unnest(t) as t from (select doc_id, o, {sql_rouge('s')} as t from sent)),
   cnt as (select doc_id, o, n, t, count(*) as k from tok group by all),
   hit as (select a.doc_id, a.o, any_value(a.n) as n, any_value(b.n) as m, sum(least(a.k, b.k)) as k from cnt a join cnt b on a.doc_id = b.doc_id and b.o = a.o + 1 and a.t = b.t group by all),
@@ -299,6 +302,9 @@ SQL_SIMS = f"""
 """
 
 
+SQL_SIMS = sql_sims(SQL_SENTS)
+
+
 @F.pandas_udf(DOUBLES)
 def _adjacent(column: pd.Series) -> pd.Series:
     return pd.Series([segment.adjacent_rouge1_f(list(x)) if x is not None else [] for x in column])
@@ -310,20 +316,25 @@ def adjacent_rouge1(spark, sf_dir):
     return sents.select("doc_id", F.posexplode(_adjacent("sents")).alias("sent_ord", "f"))
 
 
-@query(f"""
-with recursive {SQL_SIMS},
+def sql_spans(table: str, budget: int) -> str:
+    """Common tables that end in r(doc_id, lo, hi, d, leaf): the minimum-similarity
+    split of the sentences of ``table`` (doc_id, sents)."""
+    return f"""
+{sql_sims(table)},
 doc as (select doc_id, lens, list_prepend(0, list_transform(range(1, len(lens) + 1), lambda i: list_sum(lens[1:i])::bigint)) as cum
-        from (select doc_id, list_transform(sents, lambda s: len({sql_words('s')})) as lens from ({SQL_SENTS}))),
+        from (select doc_id, list_transform(sents, lambda s: len({sql_words('s')})) as lens from ({table}))),
 f as (select doc_id, list(f order by o) as f from sims group by doc_id),
 r(doc_id, lo, hi, d, leaf) as (
-  select doc_id, 0::bigint, len(lens)::bigint, 0, len(lens) <= 1 or cum[len(lens) + 1] <= {SPLIT} from doc where len(lens) > 0
+  select doc_id, 0::bigint, len(lens)::bigint, 0, len(lens) <= 1 or cum[len(lens) + 1] <= {budget} from doc where len(lens) > 0
   union all
-  select doc_id, lo, hi, d, hi - lo <= 1 or cum[hi + 1] - cum[lo + 1] <= {SPLIT} or d > 900
+  select doc_id, lo, hi, d, hi - lo <= 1 or cum[hi + 1] - cum[lo + 1] <= {budget} or d > 900
   from (select doc_id, unnest([lo, c]) as lo, unnest([c, hi]) as hi, d + 1 as d, cum
         from (select r.doc_id, lo, hi, d, cum, lo + list_position(f[lo + 1:hi - 1], list_min(f[lo + 1:hi - 1])) as c
               from r join doc using (doc_id) join f using (doc_id) where not leaf)))
-select doc_id, lo::int as lo, hi::int as hi from r where leaf
-""")
+"""
+
+
+@query(f"with recursive {sql_spans(SQL_SENTS, SPLIT)} select doc_id, lo::int as lo, hi::int as hi from r where leaf")
 def split_min_similarity(spark, sf_dir):
     sents = docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text"), 5).alias("sents"))
     spans = segment.split_min_similarity(sents, "sents", SPLIT)
@@ -378,17 +389,76 @@ def _pair_query(kind: str):
 
 for _n in (1, 2):
     query(f"with {sql_rouge_n(_n)} select conv_id, turn, round(p, 6) as rouge{_n}_precision, round(r, 6) as rouge{_n}_recall, round(f, 6) as rouge{_n}_fmeasure from s")(_pair_query(str(_n)))
-query()(_pair_query("L"))
-query()(_pair_query("Lsum"))
+
+def sql_lcs(pairs: str) -> str:
+    """Rows of the longest common subsequence's table, dp(k, i, row), for ``pairs``
+    (k, x, y): row[j + 1] is its length for the first i of x and the first j of y."""
+    return f"""
+  c as ({pairs}),
+  dp(k, i, row) as (
+    select k, 0::bigint, list_transform(range(0, len(y) + 1), lambda j: 0::bigint) from c
+    union all
+    select k, i + 1, list_prepend(0::bigint, list_transform(range(1, len(best) + 1), lambda j: list_max(best[1:j])))
+    from (select dp.k, i, list_transform(range(1, len(y) + 1), lambda j: greatest(row[j + 1], row[j] + (x[i + 1] = y[j])::bigint)) as best
+          from dp join c using (k) where i < len(x)))
+"""
+
+
+SQL_LSUM_SIDES = f"""
+  p as (select row_number() over () as pair, conv_id, turn, string_split(hypothesis, chr(10)) as h, string_split(reference, chr(10)) as r from ({SQL_TURNS})),
+  h as (select pair, o, t from (select pair, unnest(range(1, len(h) + 1)) as o, unnest(list_transform(h, lambda s: {sql_rouge('s')})) as t from p) where len(t) > 0),
+  r as (select pair, o, t from (select pair, unnest(range(1, len(r) + 1)) as o, unnest(list_transform(r, lambda s: {sql_rouge('s')})) as t from p) where len(t) > 0)
+"""
+
+query(f"""
+with recursive p as ({SQL_TURNS}),
+{sql_lcs(f"select row_number() over () as k, conv_id, turn, {sql_rouge('hypothesis')} as x, {sql_rouge('reference')} as y from p")},
+s as (select conv_id, turn, nullif(len(x), 0) as n, nullif(len(y), 0) as m, row[len(y) + 1] as hits from c join dp on c.k = dp.k and i = len(x))
+select conv_id, turn, coalesce(round(hits / n, 6), 0.0) as rougeL_precision, coalesce(round(hits / m, 6), 0.0) as rougeL_recall,
+       coalesce(round(2.0 * hits / nullif(n + m, 0), 6), 0.0) as rougeL_fmeasure from s
+""")(_pair_query("L"))
+# every reference sentence's places that lie on its common subsequence with some
+# hypothesis sentence, each token as often as the hypothesis has it
+query(f"""
+with recursive {SQL_LSUM_SIDES},
+{sql_lcs("select row_number() over () as k, h.pair, r.o, h.t as x, r.t as y from h join r using (pair)")},
+back(k, i, j, hit) as (
+  select k, len(x)::bigint, len(y)::bigint, null::bigint from c
+  union all
+  select k, case when same or up then i - 1 else i end, case when same or not up then j - 1 else j end, case when same then j end
+  from (select b.k, b.i, b.j, x[b.i] = y[b.j] as same, above.row[b.j + 1] = own.row[b.j + 1] as up
+        from back b join c using (k) join dp own on own.k = b.k and own.i = b.i join dp above on above.k = b.k and above.i = b.i - 1
+        where b.i > 0 and b.j > 0)),
+places as (select distinct pair, o, hit, y[hit] as token from back join c using (k) where hit is not null),
+used as (select pair, token, count(*) as u from places group by all),
+has as (select pair, token, count(*) as u from (select pair, unnest(t) as token from h) group by all),
+hits as (select pair, sum(least(used.u, has.u)) as hits from used join has using (pair, token) group by pair),
+sizes as (select pair, coalesce((select sum(len(t)) from h where h.pair = p.pair), 0) as n, coalesce((select sum(len(t)) from r where r.pair = p.pair), 0) as m from p)
+select conv_id, turn, coalesce(round(hits / nullif(n, 0), 6), 0.0) as rougeLsum_precision, coalesce(round(hits / nullif(m, 0), 6), 0.0) as rougeLsum_recall,
+       coalesce(round(2.0 * hits / nullif(n + m, 0), 6), 0.0) as rougeLsum_fmeasure
+from p join sizes using (pair) left join hits using (pair)
+""")(_pair_query("Lsum"))
+
+
+@query(f"""
+with p as ({SQL_TURNS}),
+t as (select row_number() over () as k, {sql_rouge('hypothesis')} as x, {sql_rouge('reference')} as y from p),
+s as (select coalesce(len(list_filter(x, lambda w: list_contains(y, w))) / nullif(len(x), 0), 0.0) as p, coalesce(len(list_filter(y, lambda w: list_contains(x, w))) / nullif(len(y), 0), 0.0) as r from t)
+select round(avg(p), 4) as mean_p, round(avg(r), 4) as mean_r, round(avg(coalesce(2.0 * p * r / nullif(p + r, 0), 0.0)), 4) as mean_f from s
+""")
+def corpus_embedding_scores(spark, sf_dir):
+    """Mean of the embedding scores with the default similarity."""
+    scored = _turn_pairs(spark, sf_dir).select(rouge.embedding_scores(F.col("hypothesis"), F.col("reference")).alias("s"))
+    return scored.agg(*[F.round(F.avg(f"s.{c}"), 4).alias(f"mean_{c}") for c in "prf"])
 
 
 @query(f"""
 with {sql_rouge_n(1)} select round(avg(p), 4) as rouge1_precision, round(avg(r), 4) as rouge1_recall, round(avg(f), 4) as rouge1_fmeasure,
-  round(100 * avg(f), 2) as rouge1_f_percent from s
+  round(100 * avg(f), 2) as rouge1_f_percent, round(100 * avg(r), 2) as rouge1_r_percent, round(100 * avg(p), 2) as rouge1_p_percent from s
 """)
 def corpus_rouge(spark, sf_dir):
     scored = rouge.pair_scores(_turn_pairs(spark, sf_dir), "hypothesis", "reference", ["1"])
-    return scored.agg(*[F.round(F.avg(f"rouge1_{c}"), 4).alias(f"rouge1_{c}") for c in ("precision", "recall", "fmeasure")], F.round(100 * F.avg("rouge1_fmeasure"), 2).alias("rouge1_f_percent"))
+    return scored.agg(*[F.round(F.avg(f"rouge1_{c}"), 4).alias(f"rouge1_{c}") for c in ("precision", "recall", "fmeasure")], *[F.round(100 * F.avg(f"rouge1_{c}"), 2).alias(f"rouge1_{c[0]}_percent") for c in ("fmeasure", "recall", "precision")])
 
 
 @query(f"""
@@ -619,17 +689,43 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.regex_text(F.col("html")).alias("text"))
 
 
-@query()
+# paragraphs end at the next one, at their own end tag or with the article
+SQL_PAGE_PARAGRAPHS = """
+  select page_id, generate_subscripts(p, 1) - 2 as ord, unnest(p) as piece from (select page_id, string_split_regex(html, '<p(?:\\s[^>]*)?>') as p from pages)
+"""
+
+
+@query(f"""
+select page_id, 'paragraphs' as status, 0 as chap, 0 as sub, ord::int as ord, null::varchar as id,
+  replace(replace(replace(regexp_replace(regexp_replace(piece, '(?s)</(p|article|body|main|div)>.*', ''), '(?s)<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') as text
+from ({SQL_PAGE_PARAGRAPHS}) where ord >= 0
+""")
 def html_parsed(spark, sf_dir):
     return html.page_lines(html.parse_pages(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
 
 
-@query()
+@query(f"""
+with l as (select doc_id, unnest(range(1, len(l) + 1)) as c, unnest(l) as raw from (select doc_id, string_split(text, chr(10)) as l from documents)),
+n as (select doc_id, c, array_to_string({sql_words('raw')}, ' ') as line from l),
+made as (
+  select doc_id, 0 as chap, 0 as sub, 0 as ord, 'KAPITTEL_0-0' as id, 'intro' as text from documents where text is not null
+  union all select doc_id, c, 0, 0, 'KAPITTEL_' || (c - 1) || '-0', 'Part ' || (c - 1) from n
+  union all select doc_id, c, 0, 1, 'KAPITTEL_' || (c - 1) || '-0', line from n where line <> ''
+  union all select doc_id, c, 1, 0, 'KAPITTEL_' || (c - 1) || '-1', 'head' from n
+  union all select doc_id, c, 1, 1, 'KAPITTEL_' || (c - 1) || '-1', trim(line || ' end') from n
+  union all select doc_id, c, 1, 2, 'KAPITTEL_' || (c - 1) || '-1', 'a b' from n)
+select doc_id, 'chapters' as status, chap::int as chap, sub::int as sub, ord::int as ord, id, text from made
+""")
 def html_chapters(spark, sf_dir):
-    """Chapters, from pages built of the documents' lines."""
+    """Chapters and sub-chapters, from pages built of the documents' lines."""
     escaped = F.transform(F.split("text", "\n"), lambda s: F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
-    inner = F.array_join(F.transform(escaped, lambda s, i: F.concat(F.lit('<div data-level="1" data-id="KAPITTEL_'), i.cast("string"), F.lit('"><p>'), s, F.lit("</p></div>"))), "")
-    made = docs(spark, sf_dir).select("doc_id", F.concat(F.lit('<div id="documentBody"><p>intro</p>'), inner, F.lit("</div>")).alias("html"))
+
+    def chapter(s, i):
+        n = i.cast("string")
+        sub = F.concat(F.lit('<div data-level="2" data-id="KAPITTEL_'), n, F.lit('-1"><h3>head</h3><ul><li>'), s, F.lit("</li><li>end</li></ul><table><tr><td>a<b>b</b></td></tr></table><p> </p></div>"))
+        return F.concat(F.lit('<div data-level="1" data-id="KAPITTEL_'), n, F.lit('"><h2>Part '), n, F.lit("</h2><p>"), s, F.lit("</p>"), sub, F.lit("</div>"))
+
+    made = docs(spark, sf_dir).select("doc_id", F.concat(F.lit('<div id="documentBody"><p>intro</p>'), F.array_join(F.transform(escaped, chapter), ""), F.lit("</div>")).alias("html"))
     return html.page_lines(html.parse_pages(made, ["doc_id"]), ["doc_id"])
 
 
@@ -640,28 +736,100 @@ def html_status(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- configuration
+CONFIG_VALUES = (" 12 ", "0.5", "True", "no", "\" \"", "'x '", " y ", "TRUE", "-3", "1e-3")
+
+
 @query("""
-select source, trim(source) as as_text, 'str' as kind, null::bigint as as_int, null::double as as_float, null::boolean as as_bool from (select distinct source from documents)
+select source, trim(source, '"' || chr(39)) as as_text, 'str' as kind, null::bigint as as_int, null::double as as_float, null::boolean as as_bool from (select distinct source from documents)
 union all
-select x, trim(x), k, i, f, b from (values (' 12 ', 'int', 12::bigint, 12.0::double, null::boolean), ('0.5', 'float', null, 0.5, null), ('True', 'bool', null, null, true), ('no', 'str', null, null, null)) t(x, k, i, f, b)
+select * from (values
+  (' 12 ', ' 12 ', 'int', 12::bigint, 12.0::double, null::boolean), ('0.5', '0.5', 'float', null, 0.5, null), ('True', 'True', 'bool', null, null, true),
+  ('no', 'no', 'str', null, null, null), ('" "', ' ', 'str', null, null, null), (chr(39) || 'x ' || chr(39), 'x ', 'str', null, null, null), (' y ', ' y ', 'str', null, null, null),
+  ('TRUE', 'TRUE', 'str', null, null, null), ('-3', '-3', 'int', -3, -3.0, null), ('1e-3', '1e-3', 'float', null, 0.001, null))
 """)
 def config_cast(spark, sf_dir):
-    known = spark.createDataFrame([(" 12 ",), ("0.5",), ("True",), ("no",)], "source string")
+    known = spark.createDataFrame([(v,) for v in CONFIG_VALUES], "source string")
     values = table(spark, sf_dir, "documents").select("source").distinct().unionByName(known)
     return values.select("source", *[c.alias(k) for k, c in T.basic_value(F.col("source")).items()])
 
 
+@query("""
+with r as (select doc_id, row_number() over (order by md5('123:' || doc_id)) - 1 as r, count(*) over () as n from documents)
+select doc_id from r where r >= floor(0.7 * n) + floor(0.1 * n)
+""")
+def test_mode_rows(spark, sf_dir):
+    """The rows that a run in test mode reads."""
+    return corpus.split(docs(spark, sf_dir).select("doc_id"), "doc_id").where(F.col("split").isin(*presets.splits_of("test"))).select("doc_id")
+
+
+@query(f"""
+select doc_id, -1 as seg_ord, 'oppsummer: ' || array_to_string(summary, ' ') as source from ({SQL_PAIRS})
+union all
+select doc_id, generate_subscripts(g, 1) - 1, 'oppsummer: ' || unnest(list_transform(g, lambda x: trim(array_to_string(x, ' ')))) from ({SQL_PACKED.replace(SQL_SENTS, SQL_PAIRS)})
+""")
+def prompted_segments(spark, sf_dir):
+    """Packed sentences after a segment with the query, all with the prompt."""
+    asked = pairs(spark, sf_dir).withColumn("asked", F.array_join("summary", " "))
+    packed = segment.pack_sentences(asked, "sents", PACK, prompt="oppsummer: ", query="asked")
+    return segment.explode_segments(packed, ["doc_id"]).withColumn("seg_ord", F.col("seg_ord") - 1)
+
+
 # -------------------------------------------------------------------- pipelines
-def _preset_query(method: str):
+def _preset_query(method: str, stages: int = 1):
     def run(spark, sf_dir):
-        return presets.run(pairs(spark, sf_dir), method)["matched0"].select("doc_id", "seg_ord", "target", F.size("picks").alias("n_picks"))
-
-    run.__name__ = f"preset_{method.replace('.', '_')}"
+        out = presets.run(pairs(spark, sf_dir), method, stages=stages)
+        last = stages - 1
+        picked = out[f"matched{last}"].groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.sum(F.size("picks")).alias("n_picks"))
+        scored = out["pairs"].select("doc_id", *[F.round(f"rouge1_{c}", 6).alias(f"rouge1_{c}") for c in ("precision", "recall", "fmeasure")])
+        found = out[f"combined{last}"].join(picked, "doc_id", "left").join(scored, "doc_id")
+        return found.select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_segments", "n_picks")], "hypo", *[c for c in scored.columns if c != "doc_id"])
+
+    run.__name__ = f"preset_{method.replace('.', '_')}" + ("" if stages == 1 else f"_{stages}")
     return run
 
 
+def sql_preset(segments: str, before: str = "") -> str:
+    """A preset's result from its segments (doc_id, seg_ord, source)."""
+    return f"""
+with recursive {before + ',' if before else ''}
+p as ({SQL_PAIRS}),
+seg as ({segments}),
+m as (select doc_id, seg_ord, list_distinct({sql_rouge('source')}) as own, list_transform(summary, lambda s: list_distinct({sql_rouge('s')})) as w from seg join p using (doc_id)),
+g(doc_id, seg_ord, have, left_, best, n) as (
+  select doc_id, seg_ord, []::varchar[], range(1, len(w) + 1), 0.0::double, 0 from m where len(own) > 0
+  union all
+  select doc_id, seg_ord, list_distinct(list_concat(have, w[t.i])), list_filter(left_, lambda x: x <> t.i), t.f, n + 1
+  from (select g.doc_id, g.seg_ord, have, left_, best, n, w,
+          list_reduce(list_transform(left_, lambda i: {{'i': i, 'f': round(coalesce(2.0 * len(list_intersect(list_distinct(list_concat(have, w[i])), own))
+                      / nullif(case when len(list_distinct(list_concat(have, w[i]))) = 0 then 0 else len(list_distinct(list_concat(have, w[i]))) + len(own) end, 0), 0.0), 6)}}), lambda a, b: case when b.f > a.f then b else a end) as t
+        from g join m using (doc_id, seg_ord) where len(left_) > 0 and n < 100)
+  where t.f > best),
+picked as (select doc_id, count(*) as n_segments, sum(k) as n_picks
+           from (select seg.doc_id, seg.seg_ord, coalesce(max(g.n), 0) as k from seg left join g on g.doc_id = seg.doc_id and g.seg_ord = seg.seg_ord group by all) group by doc_id),
+hypos as (select doc_id, string_agg(array_to_string({sql_sentences('source', 1)}[1:3], ' '), ' </s> ' order by seg_ord) as h from seg group by doc_id),
+pr as (select doc_id, coalesce(h, '') as h, {sql_rouge("replace(coalesce(h, ''), ' </s> ', chr(10))")} as x, {sql_rouge("array_to_string(summary, chr(10))")} as y from p left join hypos using (doc_id)),
+cx as (select doc_id, t, count(*) as k from (select doc_id, unnest(x) as t from pr) group by all),
+cy as (select doc_id, t, count(*) as k from (select doc_id, unnest(y) as t from pr) group by all),
+b as (select doc_id, sum(least(cx.k, cy.k)) as k from cx join cy using (doc_id, t) group by doc_id)
+select doc_id, coalesce(n_segments, 0)::bigint as n_segments, coalesce(n_picks, 0)::bigint as n_picks, '<s> ' || h as hypo,
+  round(coalesce(k / nullif(len(x), 0), 0.0), 6) as rouge1_precision, round(coalesce(k / nullif(len(y), 0), 0.0), 6) as rouge1_recall,
+  round(coalesce(2.0 * k / nullif(len(x) + len(y), 0), 0.0), 6) as rouge1_fmeasure
+from pr left join b using (doc_id) left join picked using (doc_id)
+"""
+
+
+SQL_LEAVES = sql_spans(SQL_PAIRS, 492)
+PRESET_SQL = {
+    "summ.n": sql_preset(f"select doc_id, generate_subscripts(g, 1) - 1 as seg_ord, unnest(list_transform(g, lambda x: trim(array_to_string(x, ' ')))) as source from ({SQL_PACKED.replace(SQL_SENTS, SQL_PAIRS)})"),
+    "paragraph.level": sql_preset(f"""select doc_id, generate_subscripts(s, 1) - 1 as seg_ord, unnest(s) as source
+        from (select doc_id, list_filter(list_transform({sql_groups('p', 'st')}, lambda g: trim(array_to_string(g, ' '))), lambda s: s <> '') as s
+              from (select doc_id, sents as p, {sql_pack(f"list_transform(sents, lambda s: len({sql_words('s')}))", 492)} as st from ({SQL_PAIRS})))"""),
+    "paragraph.rouge": sql_preset("select doc_id, row_number() over (partition by doc_id order by lo) - 1 as seg_ord, array_to_string(sents[lo + 1:hi], ' ') as source from r join p using (doc_id) where leaf", SQL_LEAVES),
+    "classic": sql_preset("select doc_id, 0 as seg_ord, array_to_string(sents, ' ') as source from p where trim(array_to_string(sents, ' '), ' ') <> ''"),
+}
 for _method in presets.PRESETS:
-    query()(_preset_query(_method))
+    query(PRESET_SQL.get(_method))(_preset_query(_method))
+query()(_preset_query("summ.n", stages=2))
 
 
 @query()

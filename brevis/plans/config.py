@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 
 
 def basic(text: str) -> int | float | bool | str:
-    """A text as integer, float or boolean where it reads as one."""
+    """A text as integer, float or boolean where it reads as one, else without the
+    quotes at its ends, which keep white space that belongs to it."""
     t = text.strip()
     if re.fullmatch(r"[+-]?\d+", t):
         return int(t)
     if re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?", t):
         return float(t)
-    return t.lower() == "true" if t.lower() in ("true", "false") else t
+    return t in ("True", "true") if t in ("True", "true", "False", "false") else text.strip("\"'")
 
 
 @dataclass(frozen=True)

@@ -16,22 +16,27 @@ from pyspark.sql import functions as F
 
 from brevis.operators import ml, rouge, segment
 from brevis.plans.config import operator
+from brevis.sources.writers import write_cached
 
 
 @operator("SourceSegmentor")
-def by_sentences(docs: DataFrame, budget: int) -> DataFrame:
-    return segment.pack_sentences(docs, "sents", budget)
+def by_sentences(docs: DataFrame, budget: int, prompt: str = "") -> DataFrame:
+    return segment.pack_sentences(docs, "sents", budget, prompt=prompt)
 
 
 @operator("MultiStructureSourceSegmentor")
-def by_paragraphs(docs: DataFrame, budget: int) -> DataFrame:
-    return segment.pack_paragraphs(docs, "sents", budget)
+def by_paragraphs(docs: DataFrame, budget: int, prompt: str = "") -> DataFrame:
+    return segment.pack_paragraphs(docs, "sents", budget, prompt=prompt)
+
+
+def _by_spans(docs: DataFrame, budget: int, prompt: str, similarity: Callable[[list[str]], list[float]]) -> DataFrame:
+    spans = segment.split_min_similarity(docs, "sents", budget, similarity=similarity)
+    return spans.withColumn("segments", segment.prompted(segment.span_texts(F.col("sents"), F.col("spans")), prompt)).drop("spans")
 
 
 @operator("RougeSourceSimilaritySegmentor")
-def by_similarity(docs: DataFrame, budget: int) -> DataFrame:
-    spans = segment.split_min_similarity(docs, "sents", budget)
-    return spans.withColumn("segments", segment.span_texts(F.col("sents"), F.col("spans"))).drop("spans")
+def by_similarity(docs: DataFrame, budget: int, prompt: str = "") -> DataFrame:
+    return _by_spans(docs, budget, prompt, segment.adjacent_rouge1_f)
 
 
 def embedding_similarity(items: list[str]) -> list[float]:
@@ -46,14 +51,13 @@ def embedding_similarity(items: list[str]) -> list[float]:
 
 
 @operator("BertSourceSimilaritySegmentor")
-def by_embedding(docs: DataFrame, budget: int) -> DataFrame:
-    spans = segment.split_min_similarity(docs, "sents", budget, similarity=embedding_similarity)
-    return spans.withColumn("segments", segment.span_texts(F.col("sents"), F.col("spans"))).drop("spans")
+def by_embedding(docs: DataFrame, budget: int, prompt: str = "") -> DataFrame:
+    return _by_spans(docs, budget, prompt, embedding_similarity)
 
 
 @operator("ClassicSegmentor")
-def whole(docs: DataFrame, budget: int) -> DataFrame:
-    return docs.withColumn("segments", F.filter(F.array(F.array_join("sents", " ")), lambda s: F.trim(s) != ""))
+def whole(docs: DataFrame, budget: int, prompt: str = "") -> DataFrame:
+    return docs.withColumn("segments", segment.prompted(F.filter(F.array(F.array_join("sents", " ")), lambda s: F.trim(s) != ""), prompt))
 
 
 @dataclass(frozen=True)
@@ -76,12 +80,18 @@ PRESETS = {
 }
 
 
-def run(docs: DataFrame, method: str, generate: Callable[[Column], Column] = ml.lead, stages: int = 1) -> dict[str, DataFrame]:
-    """Every stage's table by name; later stages cut the combined text again."""
+def run(docs: DataFrame, method: str, generate: Callable[[Column], Column] = ml.lead, stages: int = 1, prompt: str = "", cache: str | None = None) -> dict[str, DataFrame]:
+    """Every stage's table by name; later stages cut the combined text again.
+
+    ``prompt`` begins each segment that is generated from.  With a folder ``cache``,
+    each stage's segments are kept there and used again while their input is the same."""
     preset = PRESETS[method]
     out, now = {}, docs
     for stage in range(stages):
-        cut = (preset.segmentor if stage == 0 else by_sentences)(now, preset.budget)
+        given = now.select("doc_id", "summary", "sents")
+        cut = (preset.segmentor if stage == 0 else by_sentences)(given, preset.budget, prompt)
+        if cache is not None:
+            cut = write_cached(cut, given, f"{cache}/{method}/{preset.budget}/segments{stage}")
         segments = segment.explode_segments(cut, ["doc_id", "summary"])
         matched = segments.withColumn("_m", rouge.greedy_match("source", "summary")).select("doc_id", "summary", "seg_ord", "source", "_m.target", "_m.picks")
         hypos = matched.withColumn("hypo", generate(F.col("source")))
@@ -91,3 +101,8 @@ def run(docs: DataFrame, method: str, generate: Callable[[Column], Column] = ml.
     reference = docs.select("doc_id", F.array_join("summary", "\n").alias("reference"))
     pairs = rouge.pair_scores(now.select("doc_id", F.array_join("sents", "\n").alias("hypothesis")).join(reference, "doc_id"), "hypothesis", "reference")
     return out | {"pairs": pairs, "scores": rouge.corpus_scores(pairs)}
+
+
+def splits_of(mode: str, finegrained: bool = False) -> tuple[str, ...]:
+    """The splits that a run reads: all when it trains, only ``test`` otherwise."""
+    return ("test",) if finegrained or mode == "test" else ("train", "val", "test")

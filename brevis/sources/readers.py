@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from brevis.functions.text import last_part
+from brevis.functions.text import last_part, strip
 
 JUDGEMENT = "Disclaimer string, Sammendrag string, Premiss string, Slutning string"
 LINKS = "reference string, summary string"
@@ -90,12 +90,52 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
+@loader("corpus_lines")
+def corpus_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A corpus as ``write_corpus_json`` leaves it: JSON lines in a folder a split, which
+    are read in parts however large, with ``split`` from the folder's name."""
+    return spark.read.schema(schema).option("basePath", path).json([f"{path}/split={s}" for s in SPLITS if exists(spark, f"{path}/split={s}")] or [path])
+
+
+@loader("lines")
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0) and the stripped ``text`` of every line of text files.
+
+    Lines are numbered inside a file by where they stand; a file is one task's work
+    here, so large tables keep keys in Parquet instead."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), strip(F.col("value")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
+    return raw.select("file", place.alias("line_no"), "text")
+
+
+@loader("line_pairs")
+def line_pairs(spark: SparkSession, path: str, name: str = "train", debug: int | None = None) -> DataFrame:
+    """line_no, source, target of the files ``{name}.source`` and ``{name}.target``,
+    as many as the shorter has; the first ``debug`` of them, if it is given."""
+    source, target = (lines(spark, f"{path}/{name}.{x}").select("line_no", F.col("text").alias(x)) for x in ("source", "target"))
+    found = source.join(target, "line_no")
+    return found if debug is None else found.where(F.col("line_no") < debug)
+
+
 @loader("stage")
 def stage(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A stage's table; with a schema, an absent one reads as empty."""
+    """A stage's table; with a schema, an absent one reads as empty.  A file that can't
+    be read is an error."""
     if schema is not None and not exists(spark, path):
         return spark.createDataFrame([], StructType.fromDDL(schema))
-    return (spark.read.schema(schema) if schema else spark.read).option("ignoreCorruptFiles", "true").parquet(path)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+@loader("folder")
+def folder(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a folder of Parquet files, as far as they can be read, and the files
+    (path, length) of which no row can: damaged or empty ones.
+
+    Files are told by their listing and by the rows' origin; no column is read for it."""
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    read = rows.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return rows, listed.join(read, "path", "left_anti")
 
 
 def short_id(reference: str):

@@ -25,9 +25,34 @@ def test_bit_lcs_matches_the_table():
     random.seed(5)
     for _ in range(300):
         x, y = ([random.choice("abcd") for _ in range(random.randint(0, 30))] for _ in "xy")
-        assert rouge.lcs_length(x, y) == rouge.lcs_table(x, y)[-1][-1]
-        places = sorted(rouge.lcs_places(x, y))
-        assert len(places) == rouge.lcs_length(x, y)
+        table = [[0] * (len(y) + 1)]
+        for a in x:
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(table[-1][j] + 1 if a == b else max(table[-1][j + 1], row[j]))
+            table.append(row)
+        assert rouge.lcs_length(x, y) == table[-1][-1]
+        want, i, j = set(), len(x), len(y)
+        while i and j:
+            if x[i - 1] == y[j - 1]:
+                i, j = i - 1, j - 1
+                want.add(j)
+            elif table[i - 1][j] >= table[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        assert rouge.lcs_places(x, y) == want
+
+
+def test_embedding_scores(spark):
+    df = spark.createDataFrame([("a b b c", "b c d"), ("", "a"), (None, None)], "h string, r string")
+    got = [tuple(r[0]) for r in df.select(rouge.embedding_scores(F.col("h"), F.col("r")).alias("s")).collect()]
+    assert got[0] == pytest.approx((3 / 4, 2 / 3, 2 * 0.75 * (2 / 3) / (0.75 + 2 / 3))) and got[1:] == [(0, 0, 0)] * 2
+
+    def halves(x, y):
+        return np.full((len(x), len(y)), 0.5)
+
+    assert tuple(df.select(rouge.embedding_scores(F.col("h"), F.col("r"), halves).alias("s")).first()[0]) == (0.5, 0.5, 0.5)
 
 
 def test_union_lcs():

@@ -7,7 +7,7 @@ from brevis.plans import config, presets
 from brevis.sources import readers, writers
 
 PAGE = """<div id="documentBody"><p>in  tro</p><table><tr><td>cell</td></tr></table>
-<div data-level="1" data-id="KAPITTEL_1"><h2>One</h2><p> a  b </p><div data-level="2" data-id="KAPITTEL_1-1"><p>sub</p><blockquote>q</blockquote></div></div>
+<div data-level="1" data-id="KAPITTEL_1"><h2>One</h2><p> a  b </p><div data-level="2" data-id="KAPITTEL_1-1"><h3>h</h3><ul><li>x</li><li>y<b>z</b></li></ul><table><tr><td>cell</td><td>1<i>2</i></td></tr></table><script>no</script><p>one<b>two</b></p><p> </p></div></div>
 <div data-level="1" data-id="KAPITTEL_2"><p></p><p>two</p></div></div>"""
 
 
@@ -51,6 +51,31 @@ def test_cached_stage(spark, tmp_path):
     assert writers.write_cached(b.withColumn("y", F.lit(2)), b, path).agg(F.sum("y")).first()[0] == 8
 
 
+def test_line_files_and_pairs(spark, tmp_path):
+    (tmp_path / "train.source").write_text(" a \nb\n\nc\nd\n")
+    (tmp_path / "train.target").write_text("1\n2\n 3\n4")
+    got = readers.load(spark, "lines", str(tmp_path / "train.source")).collect()
+    assert sorted((r["line_no"], r["text"]) for r in got) == [(0, "a"), (1, "b"), (2, ""), (3, "c"), (4, "d")]
+    pairs = readers.load(spark, "line_pairs", str(tmp_path)).collect()
+    assert sorted((r["line_no"], r["source"], r["target"]) for r in pairs) == [(0, "a", "1"), (1, "b", "2"), (2, "", "3"), (3, "c", "4")]
+    assert readers.load(spark, "line_pairs", str(tmp_path), debug=2).count() == 2
+
+
+def test_folder_reports_files_that_cannot_be_read(spark, tmp_path):
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "bad.parquet").write_bytes(b"PAR1 broken")
+    rows, rejects = readers.load(spark, "folder", str(tmp_path / "t"), schema="id long")
+    assert rows.count() == 10
+    assert [r["path"].rsplit("/", 1)[1] for r in rejects.collect()] == ["bad.parquet"]
+
+
+def test_corpus_lines(spark, tmp_path):
+    df = spark.createDataFrame([("train", "a", ["x"]), ("test", "b", [])], "split string, filename string, text array<string>")
+    writers.write_corpus_json(df, str(tmp_path / "c"))
+    got = readers.load(spark, "corpus_lines", str(tmp_path / "c"), schema="filename string, text array<string>")
+    assert sorted((r["split"], r["filename"], r["text"]) for r in got.collect()) == [("test", "b", []), ("train", "a", ["x"])]
+
+
 def test_absent_stage_is_empty(spark, tmp_path):
     assert readers.stage(spark, str(tmp_path / "none"), "doc_id long").count() == 0
 
@@ -58,15 +83,16 @@ def test_absent_stage_is_empty(spark, tmp_path):
 def test_html_chapters(spark):
     status, lines = html.parse(PAGE)
     assert status == "chapters"
-    assert lines == [(0, 0, 0, "in  tro"), (0, 0, 1, "cell"), (1, 0, 0, "One"), (1, 0, 1, "a b"), (1, 1, 0, "sub"), (1, 1, 1, "q"), (2, 0, 0, "two")]
+    intro, one, sub = "KAPITTEL_0-0", "KAPITTEL_1-0", "KAPITTEL_1-1"
+    assert lines == [(0, 0, 0, intro, "in  tro"), (0, 0, 1, intro, "cell"), (1, 0, 0, one, "One"), (1, 0, 1, one, "a b"), (1, 1, 0, sub, "h"), (1, 1, 1, sub, "x y z"), (1, 1, 2, sub, "cell 1 2"), (1, 1, 3, sub, "one two"), (2, 0, 0, "KAPITTEL_2-0", "two")]
     nested = '<div data-id="AVSNITT_1"><table><tr><td class="x avsnittNummer">1</td><td>a<table><tr><td>b</td></tr></table></td></tr></table></div>'
-    assert html.parse(nested) == ("sections", [(0, 0, 0, "ab"), (0, 0, 1, "b"), (0, 0, 2, "b")])
-    assert html.parse("<p>x<p>y") == ("paragraphs", [(0, 0, 0, "x"), (0, 0, 1, "y")])
-    assert html.parse("bare <b>text</b>") == ("text", [(0, 0, 0, "bare text")])
+    assert html.parse(nested) == ("sections", [(0, 0, 0, None, "ab"), (0, 0, 1, None, "b"), (0, 0, 2, None, "b")])
+    assert html.parse("<p>x<p>y") == ("paragraphs", [(0, 0, 0, None, "x"), (0, 0, 1, None, "y")])
+    assert html.parse("bare <b>text</b>now") == ("text", [(0, 0, 0, None, "bare text now")])
     assert html.parse(None) == ("nothing", [])
     pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
     parsed = html.parse_pages(pages, ["page_id"])
-    assert html.page_lines(parsed, ["page_id"]).count() == 7
+    assert html.page_lines(parsed, ["page_id"]).count() == 9
     assert [r["page_id"] for r in html.rejects(parsed).collect()] == [2]
 
 
@@ -101,6 +127,20 @@ def test_presets(spark):
     assert presets.run(docs, "summ.n", stages=2)["combined1"].count() == 2
 
 
+def test_preset_prompts_cache_and_modes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["A b."], ["One two.", "Three."])], "doc_id long, summary array<string>, sents array<string>")
+    for method in presets.PRESETS:
+        segments = presets.run(docs, method, prompt="q: ")["segments0"].collect()
+        assert segments and all(r["source"].startswith("q: One") for r in segments)
+    first = presets.run(docs, "paragraph.rouge", cache=str(tmp_path))["combined0"].collect()
+    kept = list((tmp_path / "paragraph.rouge").rglob("fingerprint"))
+    assert len(kept) == 1
+    stamp = kept[0].stat().st_mtime_ns
+    assert presets.run(docs, "paragraph.rouge", cache=str(tmp_path))["combined0"].collect() == first and kept[0].stat().st_mtime_ns == stamp
+    assert presets.splits_of("test") == ("test",) == presets.splits_of("train", finegrained=True)
+    assert presets.splits_of("train") == ("train", "val", "test")
+
+
 def test_hashed_embeddings(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), ([],)], "t array<string>")
     got = [r[0] for r in df.select(ml.hashed_embeddings("t")).collect()]

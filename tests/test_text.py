@@ -56,12 +56,12 @@ def test_chapters_and_quick_fix(spark):
 def test_basic_values(spark):
     from brevis.plans.config import basic
 
-    values = [" 12 ", "-3", "0.5", "1e3", "True", "false", "text ", "", "1_0"]
+    values = [" 12 ", "-3", "0.5", "1e3", "True", "false", "TRUE", "text ", "\" x '", "", "1_0"]
     got = rows(spark, values, **T.basic_value(F.col("x")))
     for v, r in zip(values, got):
         want = basic(v)
         assert r["kind"] == type(want).__name__
-        assert r["as_text"] == v.strip()
+        assert r["as_text"] == v.strip("\"'")
         if r["kind"] != "str":
             assert r[f"as_{r['kind']}"] == want
 
@@ -75,6 +75,25 @@ def test_exact_split_sizes(spark):
     assert sorted(r["k"] for r in corpus.head(spark.range(100).toDF("k"), "k", 50).collect()) == [0, 1]
 
 
+def test_head_searches_for_its_last_key(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(corpus, "STEP", 4)
+    ids = [None, None, -(10**15), 10**17, *[7] * 20, *range(40), *range(10**9, 10**9 + 30)]
+    df = spark.createDataFrame([(i,) for i in ids], "k long")
+    for divisor in (1, 2, 3, 7, 50, 1000):
+        got = [r["k"] for r in corpus.head(df, "k", divisor).collect()]
+        want = sorted(ids, key=lambda k: (k is None, k or 0))[: len(ids) // divisor]
+        assert sorted(got, key=lambda k: (k is None, k or 0)) == want
+    assert corpus.head(df.where("false"), "k", 2).count() == 0
+
+
+def test_ranks_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BUCKET_ROWS", 5)
+    r, n = corpus.ranked(spark.range(300).toDF("k"), F.md5(F.col("k").cast("string")))
+    rows = sorted(r.withColumn("h", F.md5(F.col("k").cast("string"))).collect(), key=lambda r: r["h"])
+    assert n == 300 and [r["rank"] for r in rows] == list(range(300))
+
+
 def test_histogram_closes_the_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 9, 10)], "v double")
     got = {r["bin"]: r["n"] for r in corpus.histogram(df, F.col("v"), 10).collect()}
