@@ -29,7 +29,7 @@ of one component are a group, and in groups that hold several components nodes o
 different ones are compared, in blocks of ``BLOCK`` nodes; blocks of the group's
 largest component meet those of the others only.  In both rounds a parity sketch
 decides first: each set keeps a bit a bucket, the parity of its elements there, over
-four to eight buckets an element, and two sets whose sketches differ in more bits
+two to four buckets an element, and two sets whose sketches differ in more bits
 than their sets may differ in elements don't become a pair.  Whole sketches meet
 inside the block, so only links and pairs just short of one leave it.  After that
 every pair that shares a signature is verified, excluded or in one component, so the
@@ -58,7 +58,10 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-RATIO = 4
+RATIO = 3
+#: Parts to an element of the largest set of a band: a set's parts that are not empty
+#: are just more than may differ, and a signature holds two elements or so.
+FILL = 0.45
 #: Shingles are counted by the low bits of their hash, in a table of 2 MB.
 COUNTERS = 1 << 18
 #: Nodes of one signature that are compared with each other in a task, about.
@@ -81,10 +84,10 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def sketches(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parity sketches of the rows' sets, one after the other, and their
-    lengths in 64-bit words: the least power of two with four bits an element."""
+    lengths in 64-bit words: the least power of two with two bits an element."""
     width = np.ones(len(count), np.int64)
     for k in range(1, 40):
-        width[4 * count > 64 << (k - 1)] = 1 << k
+        width[2 * count > 64 << (k - 1)] = 1 << k
     bits = width * 64
     first = np.repeat(np.cumsum(bits) - bits, count)
     cell = first + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & np.repeat(bits - 1, count).astype(U)).astype(np.int64)
@@ -106,7 +109,7 @@ def may_link(apart: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def parts_of_band(band: np.ndarray) -> np.ndarray:
-    return np.maximum(16, 2 * RATIO**band)
+    return np.maximum(16, np.ceil(FILL * RATIO ** (band + 1.0)).astype(np.int64))
 
 
 def signatures(h: np.ndarray, count: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
