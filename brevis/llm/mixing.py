@@ -21,8 +21,9 @@ inside a bucket, and its slots in two levels too, so no task gathers a source.
 
 Defined results: a null or blank text has size 0 and takes 0; null is a source;
 repeated rows are rows of their own; an empty table gives an empty result;
-other input columns are kept out.  Ties in the shuffle go by doc_id and size,
-and rows that tie in all are alike.
+other input columns are kept out.  Ties in the shuffle go by doc_id and size; rows
+without a doc_id, or with one, are numbered together by size, so that many of them
+are no more work than others.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ REPEATS = 2
 SLOTS, MAX_BLOCK = 200_000, 4096
 #: Documents are summed in buckets of about this many rows.
 BUCKET_ROWS = 4096
+RUN = 4096  # rows alike are told apart in runs of this many
 PART = 16384  # slots are ranked in parts of this many
 SEED = "mix:"
 INVERSE_PHI = 0.6180339887498949
@@ -133,18 +135,21 @@ def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str =
     )
     slots = schedule(plan.where("quota > 0"), plan.agg(F.sum("quota")).first()[0] or 0)
 
-    # the stream of each source: totals of buckets first, then documents inside a bucket
-    dealt = sized.withColumn("hash", hashed).withColumn("bucket", F.substring("hash", 1, bits // 4))
-    buckets = dealt.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
+    # the stream of each source: totals of buckets first, then documents inside a bucket;
+    # rows alike in all that orders them are one row with a number until they are placed
+    alike = sized.groupBy("row", "key", "src", "size").agg(F.count("*").alias("n"))
+    dealt = alike.withColumn("hash", hashed).withColumn("bucket", F.substring("hash", 1, bits // 4))
+    buckets = dealt.groupBy("src", "bucket").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     earlier = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = buckets.select(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "bucket").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    bases = buckets.select(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("src", "bucket").orderBy("hash", "key", "size", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        dealt.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        dealt.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
         .join(bases, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("bucket") == F.col("b_bucket")))
-        .withColumn("at", F.col("base") + F.col("within"))
         .join(plan.select(F.col("src").alias("t_src"), "source_size", "target", "words", "src_no"), F.col("src").eqNullSafe(F.col("t_src")))
-        .select("row", "size", "source_size", "target", "words", "src_no", "at")
+        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+        .withColumn("nth", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)))
+        .select("row", "size", "source_size", "target", "words", "src_no", "nth", (F.col("base") + F.col("within") + F.col("nth") * F.col("size")).alias("at"))
     )
     # block pieces of each document, in the stream and in its repetition, as far as the target goes
     def first(copy: int) -> Column:
@@ -157,13 +162,10 @@ def mix(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str =
         .withColumn("overlap", F.least("piece.z", (F.col("rank") + 1) * block) - F.greatest("piece.a", F.col("rank") * block))
     )
     joined = parts.join(slots, ["src_no", "rank"], "left")
-    # rows of one source with a size start at different words, so these keys tell rows apart
+    slot = [F.min(F.when(F.col("piece.copy") == c, F.col("slot"))).alias(f"slot_{c}") for c in range(REPEATS)]
     return (
-        joined.groupBy("src_no", "at", "size", "row", "source_size", "target")
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap"))), F.lit(0)).cast("long").alias("taken"), *[F.min(F.when(F.col("piece.copy") == c, F.col("slot"))).alias(f"slot_{c}") for c in range(REPEATS)], F.count("*").alias("n"))
-        # rows without words start alike: as many as there were
-        .withColumn("copies", F.when(F.col("size") == 0, F.col("n")).otherwise(F.lit(1)))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        joined.groupBy("src_no", "at", "nth", "size", "row", "source_size", "target")
+        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("overlap"))), F.lit(0)).cast("long").alias("taken"), *slot)
         .select("row.*", "size", "source_size", "target", "taken", F.array(*[f"slot_{c}" for c in range(REPEATS)]).alias("slots"))
     )
 

@@ -837,10 +837,28 @@ def test_schedule_is_spread(spark):
         assert all(abs(seen[s] - w * i) < 6 for s, w in ((0, 0.5), (1, 0.3), (2, 0.2)))
 
 
-def test_mixed_rows(odd):
+def test_mixed_rows(spark, odd):
     mixed = mixing.mixed_rows(odd)
     assert mixed.columns == odd.columns
     assert max(collections.Counter(r["doc_id"] for r in mixed.where("doc_id <> 11").collect()).values()) <= 2
+    # equal documents of three sources: any stretch of the rows holds them by target
+    rows = [(i, prose(i, 20), "abc"[i % 3]) for i in range(900)]
+    got = [r["source"] for r in mixing.mixed_rows(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    share = {s: got.count(s) / len(got) for s in "abc"}
+    assert len(got) == pytest.approx(1350, abs=4) and got.count("a") == 600
+    for at in range(0, len(got) - 200, 100):
+        assert all(abs(got[at : at + 200].count(s) / 200 - share[s]) < 0.06 for s in "abc")
+
+
+def test_mix_of_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, prose(i % 5, 3 + i % 4), "a") for i in range(300)] + [(5, "one two", "b")] * 40
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "text"]).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter((i, t) for i, t, _ in rows)
+    for source, n in (("a", 1350), ("b", 80)):
+        mine = [r for r in got if (r["doc_id"] is None) == (source == "a")]
+        assert {r["source_size"] for r in mine} == {n} and sum(r["taken"] for r in mine) == math.floor(mine[0]["target"])
+        assert all(0 <= r["taken"] <= 2 * r["size"] and (r["taken"] > 0) == any(x is not None for x in r["slots"]) for r in mine)
 
 
 # --------------------------------------------------------------- 10 URL filters
