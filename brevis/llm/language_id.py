@@ -183,7 +183,8 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = 1 << 30
     limits = labelled.groupBy("lang").agg(F.ceil(F.lit(SAMPLE_DOCS * parts) / F.count("*")).alias("limit"))
     hashed = labelled.select("lang", "text", F.xxhash64(F.lit("sample"), "id", "text").alias("draw"))
-    drawn = hashed.join(limits, "lang").where(F.pmod("draw", F.lit(parts)) < F.col("limit"))
+    # a row a language, each of which has an automaton anyway: texts stay where they are
+    drawn = hashed.join(F.broadcast(limits), "lang").where(F.pmod("draw", F.lit(parts)) < F.col("limit"))
     return drawn.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
 
 
