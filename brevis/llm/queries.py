@@ -21,6 +21,7 @@ QUERIES = {
 ORACLES = {
     "op4_ngram_join": ngram_join.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_source_mix": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
