@@ -47,15 +47,8 @@ INVERSE_PHI = 0.6180339887498949
 
 
 def word_count(text: Column | str) -> Column:
-    """The number of [^\\x20\\x09-\\x0D]+ in a text; null has 0.
-
-    Each run of white space becomes one "\\t\\n", whose "\\n" are counted: only byte
-    searches, and no array of words."""
-    text = F.col(text) if isinstance(text, str) else text
-    flat = F.trim(F.translate(text, "\t\n\x0b\f\r", "     "))
-    runs = F.replace(F.replace(flat, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
-    count = F.octet_length(runs) - F.octet_length(F.replace(runs, F.lit("\n"), F.lit(""))) + 1
-    return F.coalesce(F.when(flat == "", F.lit(0)).otherwise(count), F.lit(0)).cast("long")
+    """The number of [^\\x20\\x09-\\x0D]+ in a text; null has 0."""
+    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
