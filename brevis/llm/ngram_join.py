@@ -26,7 +26,7 @@ signatures lead it there.  Nodes meet in two rounds.  First each is paired with
 hubs, so that variants of one text meet through one of them; the pairs are verified
 by exact intersection and the links' components found.  Then the nodes of the hubs
 of one component are a group, and in groups that hold several components nodes of
-different ones are compared, in blocks of ``BLOCK`` nodes; blocks of the group's
+different ones are compared, in blocks; blocks of the group's
 largest component meet those of the others only.  In both rounds a parity sketch
 decides first: each set keeps a bit a bucket, the parity of its elements there, over
 two to four buckets an element, and two sets whose sketches differ in more bits
@@ -54,6 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILTER_BITS, U, bitmap, cut, discard, distinct_sets, documents, first_seen, in_bitmap, lists, mix, pieces, row_key, rows_with_keys, shingles, utf8
+from .blocks import across, groups, likely, parity_sketches, widths
 from .components import components
 
 WORDS = 5
@@ -64,10 +65,6 @@ RATIO = 3
 FILL = 0.45
 #: Shingles are counted by the low bits of their hash, in a table of 2 MB.
 COUNTERS = 1 << 18
-#: Nodes of one signature that are compared with each other in a task, about.
-BLOCK = 1024
-#: Groups of so many nodes are compared many at a time.
-FEW = 48
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,29 +80,19 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def sketches(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parity sketches of the rows' sets, one after the other, and their
-    lengths in 64-bit words: the least power of two with two bits an element."""
-    width = np.ones(len(count), np.int64)
-    for k in range(1, 40):
-        width[2 * count > 64 << (k - 1)] = 1 << k
-    bits = width * 64
-    first = np.repeat(np.cumsum(bits) - bits, count)
-    cell = first + (mix(h ^ U(0xC2B2AE3D27D4EB4F)) & np.repeat(bits - 1, count).astype(U)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(U), width
-
-
-def folded(s: np.ndarray, width: int) -> np.ndarray:
-    """Sketches (the last axis) of half as many buckets, until ``width`` words are left."""
-    while s.shape[-1] > width:
-        half = s.shape[-1] // 2
-        s = s[..., :half] ^ s[..., half:]
-    return s
+    """The parity sketches of the rows' sets, one after the other, and their lengths in
+    64-bit words: two to four buckets an element."""
+    width = widths(count, 2)
+    return parity_sketches(mix(h ^ U(0xC2B2AE3D27D4EB4F)), count, width), width
+
+
+def near_sizes(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)
 
 
 def may_link(apart: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether sets of sizes m and n, whose sketches differ in ``apart`` bits, may link."""
-    return (7 * apart <= m + n) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
+    return (7 * apart <= m + n) & near_sizes(m, n)
 
 
 def parts_of_band(band: np.ndarray) -> np.ndarray:
@@ -272,29 +259,6 @@ def _near(a: Column, b: Column) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b)
 
 
-def _likely(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that may link, from rows (a, b, a_m, b_m, a_s, b_s)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for c in ("a_s", "b_s"):
-                width = batch.column(c).value_lengths().to_numpy().astype(np.int64)
-                sides.append((batch.column(c).flatten().to_numpy().view(U), np.cumsum(width) - width, width))
-            (x, x_at, x_width), (y, y_at, y_width) = sides
-            apart = np.zeros(batch.num_rows, np.int64)
-            for own, other in set(zip(x_width.tolist(), y_width.tolist())):
-                rows, least = np.flatnonzero((x_width == own) & (y_width == other)), min(own, other)
-                for part in np.array_split(rows, -(-len(rows) * max(own, other) // (1 << 18))):
-                    u, v = (folded(s[at[part][:, None] + np.arange(n)], least) for s, at, n in ((x, x_at, own), (y, y_at, other)))
-                    apart[part] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
-            kept = pa.array(np.flatnonzero(may_link(apart, batch.column("a_m").to_numpy(), batch.column("b_m").to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(kept) for c in "ab"], names=["a", "b"])
-
-    near = _near(F.col("a_m"), F.col("b_m"))
-    return pairs.where(near).select("a", "b", "a_m", "b_m", "a_s", "b_s").mapInArrow(run, "a long, b long")
-
-
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection."""
     left, right = (sets.select(F.col("node").alias(x), F.col("items").alias(f"{x}_items")) for x in "ab")
@@ -303,101 +267,6 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_near(F.size("a_items"), F.size("b_items"))).where(100 * both >= PERCENT * (total - both)).select("a", "b")
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link, of nodes of one group and of different
-    components, from rows (hub, node, c, m, s)."""
-
-    def pairs(node, c, m, s, width, block, i, j) -> tuple[np.ndarray, np.ndarray]:
-        """``s``: the words of all sketches, ``width`` of them a node, one after the other."""
-        first, found = np.cumsum(width) - width, []
-
-        def table(rows: np.ndarray, own: int) -> np.ndarray:
-            return s[first[rows][:, None] + np.arange(own)]
-
-        # sizes that may link have sketches of one width, or of one and its double
-        for own in np.unique(width[block == i]):
-            left = np.flatnonzero((block == i) & (width == own))
-            for other in (own // 2, own, 2 * own):
-                right = np.flatnonzero((block == j) & (width == other))
-                if not other or not len(right):
-                    continue
-                least = int(min(own, other))
-                x, y = folded(table(left, int(own)), least), folded(table(right, int(other)), least)
-                step = max(1, (1 << 20) // (len(right) * least))
-                for at in range(0, len(left), step):
-                    some = left[at : at + step]
-                    apart = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
-                    ok = may_link(apart, m[some, None], m[None, right]) & (c[some, None] != c[None, right])
-                    u, v = np.nonzero(ok)
-                    u, v = node[some[u]], node[right[v]]
-                    found.append((np.minimum(u, v), np.maximum(u, v)))
-        a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
-        return a, b
-
-    def small(rows: dict[str, np.ndarray], at: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for many groups of a few rows at once."""
-        row = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        after = np.repeat(starts + size, size) - row - 1  # rows of the group that follow
-        u = np.repeat(row, after)
-        v = u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(after) - after, after)
-        c, m, width = rows["c"], rows["m"], rows["width"]
-        ok = (c[u] != c[v]) & (100 * np.minimum(m[u], m[v]) >= PERCENT * np.maximum(m[u], m[v]))
-        blocks = (rows["i"][u] == rows["j"][u]) | (rows["block"][u] != rows["block"][v])
-        u, v = u[ok & blocks], v[ok & blocks]
-        u, v = np.where(width[u] <= width[v], u, v), np.where(width[u] <= width[v], v, u)
-        keep = np.zeros(len(u), bool)
-        for own in np.unique(width[u]):
-            for other in (own, 2 * own):
-                pick = np.flatnonzero((width[u] == own) & (width[v] == other))
-                for p in np.split(pick, range(1 << 15, len(pick), 1 << 15)):
-                    x, y = (rows["s"][at[r[p]][:, None] + np.arange(n)] for r, n in ((u, own), (v, other)))
-                    apart = np.bitwise_count(x ^ folded(y, int(own))).sum(1, dtype=np.int64)
-                    keep[p] = may_link(apart, m[u[p]], m[v[p]])
-        u, v = rows["node"][u[keep]], rows["node"][v[keep]]
-        return np.minimum(u, v), np.maximum(u, v)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["hub", "i", "j", "node", "c", "m", "block", "width"], None
-
-        def settle(rows: dict[str, np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-            at = np.concatenate([[0], np.cumsum(rows["width"])])
-            size = np.diff(starts)
-            few = size <= FEW
-            found = [small(rows, at, starts[:-1][few], size[few])]
-            found += [pairs(*(rows[k][x:y] for k in ("node", "c", "m")), rows["s"][at[x] : at[y]], *(rows[k][x:y] for k in ("width", "block")), rows["i"][x], rows["j"][x]) for x, y in zip(starts[:-1][~few], starts[1:][~few])]
-            a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            rows["s"] = batch.column("s").flatten().to_numpy(zero_copy_only=False).view(U)
-            if held is not None:
-                rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
-            n = len(rows["hub"])
-            if not n:
-                continue
-            new = np.ones(n, bool)
-            new[1:] = np.any([rows[k][1:] != rows[k][:-1] for k in ("hub", "i", "j")], axis=0)
-            starts = np.flatnonzero(new)
-            yield settle(rows, starts)  # all groups but the last, which may go on
-            rows["s"] = rows["s"][int(rows["width"][: starts[-1]].sum()) :]
-            held = {k: v if k == "s" else v[starts[-1] :] for k, v in rows.items()}
-        if held is not None and len(held["hub"]):
-            yield settle(held, np.array([0, len(held["hub"])]))
-
-    # a group's largest component has blocks of its own, after those of the others
-    sizes = placed.groupBy("hub", "c").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all")).select("hub", F.col("top.c").alias("top"), *[F.ceil(n / BLOCK).cast("int").alias(x) for x, n in (("minor", F.col("all") - F.col("top.n")), ("major", F.col("top.n")))])
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("c") == F.col("top"), F.col("major")).otherwise(F.col("minor"))).cast("int")
-    rows = placed.join(sizes, "hub").withColumn("block", own + F.when(F.col("c") == F.col("top"), F.col("minor")).otherwise(0))
-    others = F.when(F.col("c") == F.col("top"), F.col("minor")).otherwise(F.col("minor") + F.col("major"))
-    # a block meets others in pairs of blocks, (least, greatest)
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1)))
-    rows = rows.select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "c", "m", "block", F.size("s").alias("width"), "s")
-    return rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long").distinct()
-
-
 def _node_components(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, key, n_shingles, node) for each row of texts (doc, key, text), and
     (node, component) of the nodes that link with others."""
@@ -413,9 +282,6 @@ def _node_components(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = cut(facts.join(hubs.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "facts")
     first = hubs.where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
-    def side(x: str) -> DataFrame:
-        return facts.select(F.col("node").alias(x), F.col("m").alias(f"{x}_m"), F.col("s").alias(f"{x}_s"))
-
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         sets = _set_table(texts, nodes.where("n_shingles > 0").select("node", "key"), wanted)
@@ -423,20 +289,17 @@ def _node_components(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         discard(sets)
         return links
 
-    likely = cut(_likely(first.join(side("a"), "a").join(side("b"), "b")), "likely")
-    links = verified(likely)
+    near = cut(likely(first, facts, may_link, _near), "likely")
+    links = verified(near)
     known = components(links)
 
     # groups that still hold several components: across them
-    of_hub = known.select(F.col("node").alias("hub"), F.col("component").alias("h"))
-    placed = hubs.join(known, "node", "left").join(of_hub, "hub", "left").select(F.coalesce("h", "hub").alias("hub"), "node", F.coalesce("component", "node").alias("c")).distinct()
-    placed = cut(placed, "placed")
-    several = placed.groupBy("hub").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("hub")
-    across = cut(_across(placed.join(several, "hub").join(facts, "node")).join(likely, ["a", "b"], "left_anti"), "across")
-    discard(hubs, facts, placed, likely)
-    more = verified(across)
+    placed = cut(groups(hubs, known), "placed")
+    met = cut(across(placed, facts, near_sizes, may_link).join(near, ["a", "b"], "left_anti"), "across")
+    discard(hubs, facts, placed, near)
+    more = verified(met)
     found = components(links.unionByName(more))
-    discard(links, more, across, known)
+    discard(links, more, met, known)
     return nodes.select("doc", "key", "n_shingles", "node"), found
 
 
