@@ -182,18 +182,27 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Position-free hashes of the spans [start, end)."""
-    low, high = prefix
+    """Position-free hashes of the spans [start, end), some tens of thousands at a time,
+    so that what they need in between stays in the cache."""
     start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    back = powers(pow(BASE, -1, PRIME), prefix.shape[1])
+    out = np.empty(len(start), U)
+    for i in range(0, len(start), 1 << 15):
+        out[i : i + (1 << 15)] = _span_hash(prefix, start[i : i + (1 << 15)], end[i : i + (1 << 15)], back)
+    return out
+
+
+def _span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, back: np.ndarray) -> np.ndarray:
+    low, high = prefix
     total, at = np.zeros(len(start), U), start
     while True:
         to = np.minimum(at + STRETCH, end)
         a, b = low[to] - low[at], high[to] - high[at]
         total = _reduced(total + (a & U(PRIME)) + (a >> TOP) + _reduced((b >> U(29)) + ((b & U((1 << 29) - 1)) << HIGH)))
         at = to
-        if not len(at) or (at == end).all():
+        if (at == end).all():
             break
-    return mix(product(total, powers(pow(BASE, -1, PRIME), prefix.shape[1])[start]))
+    return mix(product(total, back[start]))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
