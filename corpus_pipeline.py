@@ -5,7 +5,8 @@ its predecessor kept.
 2. ngram_join: one document of each group of near copies stays.
 3. decontaminate: documents that contain a benchmark item go.
 4. mix: whole documents, each as often as the mix takes at least half its words
-   (up to twice), so that the sources come near their target weights.
+   (up to twice), so that the sources come near their target weights, in the order
+   of the mix's schedule.
 5. shard: the rows as they stand in the compacted store.
 """
 
