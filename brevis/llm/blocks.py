@@ -86,12 +86,19 @@ def groups(hubs: DataFrame, known: DataFrame) -> DataFrame:
     return placed.select(F.coalesce("h", "hub").alias("hub"), "node", F.coalesce("component", "node").alias("c")).distinct()
 
 
-def across(placed: DataFrame, facts: DataFrame, near_sizes: Sizes, may: May) -> DataFrame:
+def across(placed: DataFrame, facts: DataFrame, near_sizes: Sizes, may: May, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) that may link, of nodes of one group and of different components,
     from rows (hub, node, c) and facts (node, m, s).
 
     A group is dealt in blocks; blocks of its largest component meet those of the others
-    only, so that many alike nodes and a few others are not quadratic work."""
+    only, so that many alike nodes and a few others are not quadratic work.  With
+    ``nearest`` only groups over ``FEW`` nodes are compared, and only the pair that
+    differs least of each node of a block is given."""
+
+    def least_of(side: np.ndarray, other: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        """The first row of each value of ``side`` with its least difference."""
+        order = np.lexsort((other, apart, side))
+        return order[np.append(True, side[order][1:] != side[order][:-1])] if len(order) else order
 
     def pairs(node, c, m, s, width, block, i, j) -> tuple[np.ndarray, np.ndarray]:
         """``s``: the words of all sketches, ``width`` of them a node, one after the other."""
@@ -114,7 +121,10 @@ def across(placed: DataFrame, facts: DataFrame, near_sizes: Sizes, may: May) ->
                     apart = np.bitwise_count(x[at : at + step, None] ^ y[None]).sum(2, dtype=np.int64)
                     ok = may(apart, m[some, None], m[None, right]) & (c[some, None] != c[None, right])
                     u, v = np.nonzero(ok)
-                    u, v = node[some[u]], node[right[v]]
+                    d, u, v = apart[u, v], node[some[u]], node[right[v]]
+                    if nearest:
+                        pick = np.union1d(least_of(u, v, d), least_of(v, u, d))
+                        u, v = u[pick], v[pick]
                     found.append((np.minimum(u, v), np.maximum(u, v)))
         a, b = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 2
         return a, b
@@ -130,15 +140,19 @@ def across(placed: DataFrame, facts: DataFrame, near_sizes: Sizes, may: May) ->
         blocks = (rows["i"][u] == rows["j"][u]) | (rows["block"][u] != rows["block"][v])
         u, v = u[ok & blocks], v[ok & blocks]
         u, v = np.where(width[u] <= width[v], u, v), np.where(width[u] <= width[v], v, u)
-        keep = np.zeros(len(u), bool)
+        keep, differ = np.zeros(len(u), bool), np.zeros(len(u), np.int64)
         for own in np.unique(width[u]):
             for other in (own, 2 * own):
                 pick = np.flatnonzero((width[u] == own) & (width[v] == other))
                 for p in np.split(pick, range(1 << 15, len(pick), 1 << 15)):
                     x, y = (rows["s"][at[r[p]][:, None] + np.arange(n)] for r, n in ((u, own), (v, other)))
                     apart = np.bitwise_count(x ^ folded(y, int(own))).sum(1, dtype=np.int64)
-                    keep[p] = may(apart, m[u[p]], m[v[p]])
-        u, v = rows["node"][u[keep]], rows["node"][v[keep]]
+                    keep[p], differ[p] = may(apart, m[u[p]], m[v[p]]), apart
+        u, v, d = u[keep], v[keep], differ[keep]
+        if nearest:  # rows, not nodes: a node may be in several groups
+            pick = np.union1d(least_of(u, v, d), least_of(v, u, d))
+            u, v = u[pick], v[pick]
+        u, v = rows["node"][u], rows["node"][v]
         return np.minimum(u, v), np.maximum(u, v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +187,8 @@ def across(placed: DataFrame, facts: DataFrame, near_sizes: Sizes, may: May) ->
 
     sizes = placed.groupBy("hub", "c").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all")).where("top.n < all")
+    if nearest:
+        sizes = sizes.where(F.col("all") > FEW)
     minor, major = F.col("all") - F.col("top.n"), F.col("top.n")
     sizes = sizes.select("hub", F.col("top.c").alias("top"), *[F.ceil(n / BLOCK).cast("int").alias(x) for x, n in (("minor", minor), ("major", major))])
     # the blocks of the largest component come after those of the others
