@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brevis.llm import common, components, decontaminate, html_extract, language_id, line_dedup, media, mixing, ngram_join, sharding, suffix_dedup, url_filter
+from brevis.llm import blocks, common, components, decontaminate, html_extract, language_id, line_dedup, media, mixing, ngram_join, sharding, suffix_dedup, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, k int, sign int, size string, target string"
 WORDS = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
@@ -382,6 +382,90 @@ def test_line_dedup_runs_and_long_distances():
         assert line_dedup.long_distance(a, b) == distance(a, b)
 
 
+def test_all_lines_of_a_key_have_one_hub(spark, monkeypatch):
+    """Rare and common keys, with common ones cut short in the map task, over small batches."""
+    monkeypatch.setattr(line_dedup, "OFTEN", 3)
+    rng, nodes = np.random.default_rng(29), {}
+    rows = []
+    for _ in range(6):  # pieces
+        key = 16 * rng.choice(np.array([8, 9, 10, 11, 12, 13, *range(100, 400)], np.uint64), 300, p=np.array([0.1] * 5 + [0.02] + [0.48 / 300] * 300))
+        node = rng.integers(0, 2**62, 300, dtype=np.uint64)
+        indexed = (rng.random(300) < 0.4) & (key != 192)
+        for k, n, i in zip(key.tolist(), node.tolist(), indexed.tolist()):
+            nodes.setdefault(k, []).append((n, i))
+        rows += [tuple(map(int, r)) for r in zip(*line_dedup._key_rows(key, node, indexed))]
+    assert len([1 for v, _ in rows if v & line_dedup.KIND == line_dedup.MEMBER]) > 300
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = collections.defaultdict(set)
+        for r in line_dedup._hubs(spark.createDataFrame(rows, "key long, node long")).collect():
+            found[r["node"]].add(r["hub"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for own in nodes.values():
+        if len(own) > 1 and any(i for _, i in own):
+            common_hubs = set.intersection(*(found[n] for n, _ in own))
+            assert common_hubs & {n for n, i in own if i}
+    allowed = {n: set().union(*({x for x, i in own if i} for own in nodes.values() if any(n == x for x, _ in own))) for n in found}
+    assert all(found[n] <= allowed[n] for n in found) and not any(found[n] for n, _ in nodes[192])
+
+
+def test_lines_that_are_the_same_pass_the_sketches():
+    """Lines within the allowed word or byte edits, of few and often repeated words."""
+    rng = random.Random(17)
+
+    def shape(line):
+        data = np.frombuffer(line.encode(), np.uint8)
+        at = np.array([0, len(data)])
+        words, first, last = line_dedup.line_words(data, line_dedup.prefix_hash(data), at[:-1], at[1:])
+        count = last - first
+        width = line_dedup.widths(count, 8, 2)
+        return int(count[0]), line_dedup.parity_sketches(line_dedup.nth_words(words, count), count, width)
+
+    passed = total = 0
+    for _ in range(800):
+        n = rng.choice([10, 12, 19, 20, 41, 80, 160, 400])
+        words = [rng.choice(["Shed", "Or", "x", "é1", "甲乙"]) for _ in range(n)] if rng.random() < 0.7 else ["Shed"] * n
+        other, line = list(words), " ".join(words)
+        near = rng.random()
+        if near < 0.4:
+            for _ in range(rng.randint(0, max(0, (n - n // 10) // line_dedup.SHARE))):
+                at = rng.randrange(len(other))
+                other[at : at + rng.randint(0, 1)] = rng.choice([[], ["Or"], ["new"]])
+            changed = " ".join(other)
+        elif near < 0.8:
+            x = list(line)
+            for _ in range(2):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "q", " "])
+            changed = "".join(x)
+        else:
+            changed = " ".join(rng.choice(["Then", "Thin", "In"]) for _ in range(n))
+        (m, a), (k, b) = shape(line), shape(changed)
+        least = min(len(a), len(b))
+        apart = np.bitwise_count(blocks.folded(a, least) ^ blocks.folded(b, least)).sum(keepdims=True).astype(np.int64)
+        may = bool(line_dedup.may_link(apart, np.array([m]), np.array([k]))[0])
+        same = line_dedup.long_distance(list(line.encode()), list(changed.encode())) <= 2 if near >= 0.4 and near < 0.8 else near < 0.4 and "甲" not in line
+        if same:
+            limit = min(len(line.split()), len(changed.split())) // line_dedup.SHARE
+            assert may or line_dedup.long_distance(line.split(), changed.split()) > limit and near < 0.4
+        if near >= 0.8:
+            total, passed = total + 1, passed + may
+    assert passed == 0 and total > 50
+
+
+def test_line_dedup_of_lines_with_one_repeated_word(spark):
+    rng, rows = random.Random(19), []
+    for word in ("Shed", "Thernthe", "Or", "Onwher"):
+        for n in (40, 300, 305, 420):
+            x = [word] * n
+            x[rng.randrange(n)] = "other"
+            rows.append((len(rows), " ".join(x)))
+    got = line_dedup.summarize(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_lines(rows)
+    assert collections.Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got) == want and sum(len(k[2]) for k in want) >= 4
+
+
 def test_line_dedup_applies(spark):
     rows = [(1, "a line that is long enough to count\nb"), (2, "a line that is long enough to cou\nb\n\nc")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
