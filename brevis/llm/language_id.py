@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, pieces, utf8
+from .common import documents, pieces, release_memory, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_BYTES = 160, 4000, 30_000
 STRETCH = 2048
@@ -208,29 +209,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model({r["lang"]: (r["size"], np.frombuffer(r["keys"], np.int64), np.frombuffer(r["to"], np.int32)) for r in built if r["size"] > 1})
 
 
-_loaded: dict[int, Model] = {}
-
-
 def judged(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, lang_pred, score, phrase_rate for every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = hash((docs.sparkSession.sparkContext.applicationId, sent._jbroadcast.id()))
+    # texts make up the rows: they go to the workers once, kept or not
+    columns = [*keep, *({text_col} - set(keep))]
+    at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _loaded:  # one table of transitions a worker
-            _loaded.clear()
-            _loaded[key] = sent.value
-        model = _loaded[key]
-        for batch in batches:
-            _, offsets = utf8(batch.column("_text"))
-            for a, b in pieces(offsets, TOGETHER):
-                part = batch.slice(a, b - a)
-                lang, score, rate = model.judge_all(part.column("_text"))
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*(f"k{i}" for i in range(len(columns))), "lang_pred", "score", "phrase_rate"])
-
-    chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"k{i} {kind}" for i, (_, kind) in enumerate(chosen.dtypes[:-1])), "lang_pred string, score double, phrase_rate double"])
+        release_memory()
+        model = copy(sent.value)  # its table of transitions is a task's own, and ends with it
+        try:
+            for batch in batches:
+                _, offsets = utf8(batch.column(at))
+                for a, b in pieces(offsets, TOGETHER):
+                    part = batch.slice(a, b - a)
+                    found = [pa.array(x, kind) for x, kind in zip(model.judge_all(part.column(at)), (pa.string(), pa.float64(), pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *found], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score", "phrase_rate"])
+        finally:
+            batch = part = found = offsets = _ = model = None
+            release_memory()
+
+    chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
+    schema = ", ".join([*(f"k{i} {kind}" for i, (_, kind) in enumerate(chosen.dtypes[: len(keep)])), "lang_pred string, score double, phrase_rate double"])
     out = chosen.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "phrase_rate")
 

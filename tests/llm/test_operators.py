@@ -169,6 +169,13 @@ def test_words_are_runs_of_letters():
     assert model_of({"a": b" ab "}).judge_all(pa.array(["\u00b2 \u00bd \u2167"]))[0] == ["und"]
 
 
+def test_accepted_sends_texts_once(odd):
+    plan = language_id.accepted(odd)._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    assert plan.children().apply(0).output().size() == len(odd.columns)
+
+
 def test_language_id_query_against_brute_force(spark, sf_dir):
     """Every whole document of the query, judged by naive longest matches."""
     import pyarrow as pa
