@@ -473,6 +473,39 @@ def test_line_dedup_of_lines_with_one_repeated_word(spark):
     assert collections.Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got) == want and sum(len(k[2]) for k in want) >= 4
 
 
+def test_line_dedup_settles_alike_lines_inside_blocks(spark, monkeypatch):
+    rng, start, rest = random.Random(5), WORDS[:20], WORDS[20:60]
+    lines = [" ".join(start + rng.sample(rest, len(rest))) for _ in range(40)]  # alike sketches, far apart
+    lines += [x.replace(WORDS[3], "changed", 1) for x in lines[:10]]
+    made, cut = {}, line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df, name, *a: (out := cut(df, name, *a), made.update({name: made.get(name, 0) + out.count()}))[0])
+    got = line_dedup.summarize(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed > 0")
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(40, 50))
+    assert made.get("pairs", 0) + made["links"] <= len(lines)
+
+
+def test_spanning_links_against_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (2, 12, 60):
+        c = rng.integers(0, n, n)
+        u, v = (x.ravel() for x in np.triu_indices(n, 1))
+        pick = rng.random(len(u)) < 0.5
+        u, v = u[pick], v[pick]
+        good = {(a, b) for a, b in zip(u.tolist(), v.tolist()) if rng.random() < 2 / n}
+        a, b = blocks.spanning(u, v, rng.integers(0, 5, len(u)), c, lambda x, y: np.array([(i, j) in good for i, j in zip(x.tolist(), y.tolist())], bool))
+        links = set(zip(a.tolist(), b.tolist()))
+        assert links <= good and len(links) < max(2, len(np.unique(c)))
+
+        def classes(pairs):
+            label = c.copy()
+            for _ in range(n):
+                for i, j in pairs:
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+            return label.tolist()
+
+        assert classes(links) == classes(good)
+
+
 def test_line_dedup_applies(spark):
     rows = [(1, "a line that is long enough to count\nb"), (2, "a line that is long enough to cou\nb\n\nc")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
