@@ -877,6 +877,21 @@ def test_suffix_dedup_matches_brute_force(spark, odd, empty):
     assert suffix_dedup.remove(empty).count() == 0
 
 
+def test_repeated_rows_share_their_marks(spark, monkeypatch):
+    """Each of n equal rows is told the marks of one of them, not n times as many, and a
+    task cuts their spans once."""
+    told, compared, spans = [], suffix_dedup._compared, []
+    removed = suffix_dedup._removed
+    monkeypatch.setattr(suffix_dedup, "_removed", lambda texts, kind: told.append(texts) or removed(texts, kind))
+    monkeypatch.setattr(suffix_dedup, "_compared", lambda rows: spans.append(rows) or compared(rows))
+    texts = [" ".join(f"{prose(800 + i, 60)} {prose(seed + i, 60)}" for i in range(6)) for seed in (500, 600)]
+    rows = [(1, texts[0])] * 24 + [(2, texts[1])]
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()), key=str)
+    assert got == brute_removed(rows)
+    assert told[0].where("size(marks) > size(array_distinct(marks))").count() == 0
+    assert 0 < spans[0].count() <= 8 * spans[0].select("k", "a", "fp").distinct().count() < 24 * 8
+
+
 def test_long_texts_are_cut_without_loss():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 5 * suffix_dedup.CHUNK // 2, dtype=np.uint8)
