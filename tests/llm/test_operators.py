@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -484,6 +485,30 @@ def test_line_dedup_settles_alike_lines_inside_blocks(spark, monkeypatch):
     assert made.get("pairs", 0) + made["links"] <= len(lines)
 
 
+def test_rows_of_small_groups_meet_once(spark, monkeypatch):
+    """Nodes of a small group without a large component are sent to one block, once."""
+    rng, sent = random.Random(4), []
+    nodes = [(hub, 100 * hub + i, 100 * hub + i // k) for hub, k in ((1, 1), (2, 2)) for i in range(40)]
+    placed = spark.createDataFrame(nodes, "hub long, node long, c long")
+    facts = spark.createDataFrame([(node, 8, [rng.getrandbits(8), 0]) for _, node, _ in nodes], "node long, m long, s array<long>")
+    kind, deal = type(placed), type(placed).repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: sent.append(self) or deal(self, *a))
+    got = blocks.across(placed, facts, line_dedup.near_sizes, lambda apart, m, n: apart <= 64)
+    assert {tuple(r) for r in got.collect()} == {(a, b) for h, a, c in nodes for g, b, d in nodes if h == g and a < b and c != d}
+    assert sent[0].count() == len(nodes)
+
+
+def test_cut_drops_the_shuffles_of_its_write(spark):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = common.cut(spark.range(1000).repartition(5, "id").groupBy("id").count(), "x")
+    for _ in range(100):
+        if tracker.shuffleStatuses().size() <= before:
+            break
+        time.sleep(0.1)
+    assert tracker.shuffleStatuses().size() <= before and out.count() == 1000
+
+
 def test_spanning_links_against_brute_force():
     rng = np.random.default_rng(3)
     for n in (2, 12, 60):
