@@ -509,6 +509,13 @@ def test_cut_drops_the_shuffles_of_its_write(spark):
     assert tracker.shuffleStatuses().size() <= before and out.count() == 1000
 
 
+def test_cut_gives_native_memory_of_the_driver_back(spark, monkeypatch):
+    trimmed, trim = [], common.trim_driver
+    monkeypatch.setattr(common, "trim_driver", lambda s: trimmed.append(trim(s)))
+    assert common.cut(spark.range(10), "x").count() == 10
+    assert len(trimmed) == 1 and trimmed[0] in (True, False)
+
+
 def test_spanning_links_against_brute_force():
     rng = np.random.default_rng(3)
     for n in (2, 12, 60):
