@@ -43,8 +43,8 @@ from .common import documents, pieces, release_memory, utf8
 
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_BYTES = 160, 4000, 30_000
 STRETCH = 2048
-#: Bytes that walk together.
-TOGETHER = 4 << 20
+#: Bytes that walk together: a worker needs about 25 times as much beside its batch.
+TOGETHER = 1 << 20
 #: More phrases a character than this: the text is in none of the languages.
 MOST_PHRASES = 0.6
 UNKNOWN = "und"
@@ -109,7 +109,7 @@ class Model:
         there is no transition; the languages' starts; and what follows the starts."""
         if self._table is None:
             known = np.unique(np.concatenate([keys & 255 for keys, _ in self.automata]))
-            classes = np.zeros(256, np.int32)
+            classes = np.zeros(256, np.uint8)  # bytes of UTF-8 have fewer values
             classes[known] = np.arange(1, len(known) + 1)
             width = len(known) + 1
             states = np.array([int(to.max(initial=0)) + 1 for _, to in self.automata])

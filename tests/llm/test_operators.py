@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -162,6 +163,21 @@ def test_phrases_are_longest_matches(monkeypatch):
         assert row.tolist() == [naive_phrases(p, texts[lang]) for p in parts]
 
 
+def test_judging_needs_little_memory():
+    import pyarrow as pa
+
+    model = model_of({k: prose(i, 400).encode() for i, k in enumerate(("en", "fr"))})
+    texts = pa.array([prose(i, 2000) for i in range(60)] * 16)
+    model.table()
+    tracemalloc.start()
+    whole = model.judge_all(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 7 << 20 and peak < 8 << 20
+    alone = model.judge_all(texts[:60])
+    assert whole[0] == alone[0] * 16 and (whole[1] == np.tile(alone[1], 16)).all() and (whole[2] == np.tile(alone[2], 16)).all()
+
+
 def test_words_are_runs_of_letters():
     import pyarrow as pa
 
