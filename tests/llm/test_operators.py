@@ -306,6 +306,61 @@ def test_edit_distances(edits):
     assert got.tolist() == [min(edits + 1, distance(a, b)) for a, b in pairs]
 
 
+def test_edit_distances_of_equal_ends():
+    rng, pairs = random.Random(5), [(b"", b""), (b"", b"ab"), (b"a", b""), (b"aa", b"a"), (b"aaaa", b"aa")]
+    for _ in range(400):
+        head, tail = (bytes(rng.choices(b"ab", k=rng.choice([0, 1, 30, 300]))) for _ in range(2))
+        a, b = (bytes(rng.choices(b"ab", k=rng.choice([0, 1, 2, 5, 12]))) for _ in range(2))
+        pairs.append((head + a + tail, head + b + tail))
+    want = [distance(a, b) for a, b in pairs]
+    data = np.frombuffer(b"".join(a + b for a, b in pairs) + b"\0", np.uint8)
+    sizes = np.array([(len(a), len(b)) for a, b in pairs])
+    at = np.cumsum(sizes.sum(1)) - sizes.sum(1)
+    sides = at, sizes[:, 0], at + sizes[:, 0], sizes[:, 1]
+    for edits in (1, 2, 4):
+        assert line_dedup.edit_distances(data, *sides, edits).tolist() == [min(edits + 1, w) for w in want]
+    most = np.array([rng.choice([1, 4, 6, 31, 40]) for _ in pairs])
+    got = line_dedup.word_distances(data, *sides, most)
+    assert [min(g, m + 1) for g, m in zip(got.tolist(), most.tolist())] == [min(w, m + 1) for w, m in zip(want, most.tolist())]
+
+
+def test_same_lines_by_bytes_or_words():
+    import re
+
+    import pyarrow as pa
+
+    rng, pairs = random.Random(6), []
+    pieces = [*WORDS[:12], "\u4e2d", "\u4e2d\u6587", "\u00e9t\u00e9", "\t", " ", "a"]
+    for _ in range(600):
+        a = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.choice([6, 12, 25, 60, 400]))).encode()
+        b = bytearray(a)
+        for _ in range(rng.choice([1, 2, 2, 3, 9])):
+            i = rng.randrange(len(b))
+            b[i : i + rng.randrange(3)] = bytes(rng.choices(b" a\xe4\xc3", k=rng.randrange(3)))
+        pairs.append((a, bytes(b)))
+
+    def near(a, b):
+        if line_dedup.long_distance(list(a), list(b)) <= line_dedup.EDITS:
+            return True
+        x, y = (re.findall(rb"[\xe0-\xff][^\s\xe0-\xff]*|[^\s\xe0-\xff]+", t) for t in (a, b))
+        limit = min(len(x), len(y)) // line_dedup.SHARE
+        return limit > 0 and line_dedup.long_distance(x, y) <= limit
+
+    want = [near(a, b) for a, b in pairs]
+    assert 150 < sum(want) < 450
+    assert line_dedup.same_lines(*(pa.array(x, pa.binary()) for x in zip(*pairs))).tolist() == want
+
+
+def test_verifying_long_lines_looks_at_what_differs():
+    import pyarrow as pa
+
+    lines = [prose(i, 6000) for i in range(60)]
+    changed = [f"{x[:9000]} changed {x[9000:]}" for x in lines]
+    began = time.process_time()
+    assert line_dedup.same_lines(*(pa.array([t.encode() for t in x]) for x in (lines, changed))).all()
+    assert time.process_time() - began < 2
+
+
 def same_line(a, b):
     """The rule, on bytes and words."""
     if a == b or min(len(a), len(b)) < line_dedup.MIN_BYTES:
