@@ -925,6 +925,13 @@ def test_main_text_of_long_pages():
     assert html_extract.main_text("<" * 20000 + "<!--" * 5000) == ""
 
 
+@pytest.mark.parametrize("signs", ["<" * 300, "3 * 4 = 12; " * 30, "\u2014 " * 200])
+def test_long_blocks_without_letters_go_with_others(signs):
+    assert html_extract.main_text(f"<div>{signs}</div>") == ""
+    assert html_extract.main_text(f"<article><p>{ARTICLE}</p><p>{signs}</p></article>") == f"{ARTICLE}\n\n{' '.join(signs.split())}"
+    assert html_extract.main_text(f"<div>{'Ж' * 300}</div>") == "Ж" * 300
+
+
 @pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'title="a hidden place"', "data-class='sidebar'", 'data-x="id=menu"', 'class="x" data-hidden', "title='role=banner'"])
 def test_html_attributes_are_whole_names(attrs):
     source = f"<article><p {attrs}>{ARTICLE}</p><p>See <a href=/hidden-gems>the gems</a> and more.</p></article>"
