@@ -489,6 +489,65 @@ def test_all_lines_of_a_key_have_one_hub(spark, monkeypatch):
     assert all(found[n] <= allowed[n] for n in found) and not any(found[n] for n, _ in nodes[192])
 
 
+def test_rows_of_keys_are_packed_by_bucket(spark, monkeypatch):
+    """Few rows are shuffled, over many buckets and gatherings; the hubs are those of single rows."""
+    monkeypatch.setattr(line_dedup, "GATHER", 1500)
+    monkeypatch.setattr(line_dedup, "PACK", 40)
+    rng = random.Random(31)
+    lines = [" ".join(rng.choices(WORDS, k=rng.choice((6, 12, 30, 60)))) for _ in range(300)]
+    lines += [x.replace(x.split()[1], "changed", 1) for x in lines[:100]]
+    data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+    prefix = common.prefix_hash(data)
+    _, _, start, end = line_dedup.lines_of(data, np.array([0, len(data)]))
+    node = line_dedup.line_nodes(data, prefix, start, end)[0]
+    words, first, last = line_dedup.line_words(data, prefix, start, end)
+    few = np.flatnonzero(last - first <= line_dedup.BYTE_WORDS)
+    at, *of_bytes = line_dedup.keys(prefix, start[few], end[few])
+    line, key, indexed = map(np.concatenate, zip((few[at], *of_bytes), line_dedup.word_keys(words, first, last)))
+    key = key & ~common.U(line_dedup.KIND | line_dedup.WORD) | np.where(np.arange(len(key)) < len(at), common.U(0), common.U(line_dedup.WORD))
+    want = collections.defaultdict(list)
+    for k, n, i in zip(key.tolist(), node[line].view(np.int64).tolist(), indexed.tolist()):
+        want[k].append((n, i))
+    texts = spark.createDataFrame([("\n".join(lines[i : i + 50]),) for i in range(0, len(lines), 50)], "text string").coalesce(1)
+    keyed = line_dedup._key_table(texts, 7).cache()
+    assert {r["bucket"] for r in keyed.collect()} == set(range(7))
+    assert sum(len(r["rows"]) for r in keyed.collect()) >= 16 * len(key) and 10 * keyed.count() < len(key)
+    found = collections.defaultdict(set)
+    for r in line_dedup._hubs(keyed, 3).collect():
+        found[r["node"]].add(r["hub"])
+    keyed.unpersist()
+    for own in want.values():
+        if len({n for n, _ in own}) > 1 and any(i for _, i in own):
+            assert set.intersection(*(found[n] for n, _ in own)) & {n for n, i in own if i}
+    allowed = collections.defaultdict(set)
+    for own in want.values():
+        for n, _ in own:
+            allowed[n] |= {x for x, i in own if i}
+    assert found and all(hubs <= allowed[n] for n, hubs in found.items())
+
+
+def test_words_are_numbered_in_their_own_line():
+    import pyarrow as pa
+
+    letters = [c.encode() for c in "abcdefghijklmnopqrstuvwxyz"]
+    lines = [b" ".join(letters)] * 300 + [b"a a b"]
+    data, at = common.utf8(pa.array(lines, pa.binary()))
+    words, first, last = line_dedup.line_words(data, common.prefix_hash(data), at[:-1], at[1:])
+    got = line_dedup.nth_words(words, last - first)
+    assert all(np.array_equal(got[26 * i : 26 * i + 26], got[:26]) for i in range(300))
+    assert len(set(got[-3:].tolist())) == 3 and len(set(got[-3:].tolist()) & set(got[:26].tolist())) == 2
+
+
+def test_links_across_classes_look_at_these_classes_only(spark, monkeypatch):
+    known = spark.createDataFrame([(n, n // 10 * 10) for n in range(10, 60)], "node long, component long")
+    more = spark.createDataFrame([(13, 27), (26, 41), (3, 4), (4, 55)], "a long, b long")
+    sent, work = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda edges: sent.append(edges.collect()) or work(edges))
+    got = {r["node"]: r["component"] for r in line_dedup._joined(known, more).collect()}
+    want = {n: 10 if n // 10 in (1, 2, 4) else 30 if n // 10 == 3 else 3 for n in range(10, 60)} | {3: 3, 4: 3}
+    assert got == want and sorted(tuple(r) for r in sent[0]) == [(3, 4), (4, 50), (10, 20), (20, 40)]
+
+
 def test_lines_that_are_the_same_pass_the_sketches():
     """Lines within the allowed word or byte edits, of few and often repeated words."""
     rng = random.Random(17)
