@@ -1,5 +1,7 @@
+import gc
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from brevis.operators import html, ml
@@ -96,6 +98,28 @@ def test_html_chapters(spark):
     assert [r["page_id"] for r in html.rejects(parsed).collect()] == [2]
 
 
+def test_html_pages_in_slices(spark):
+    # what is parsed of many pages isn't held together, and trees go at once
+    pages = [PAGE, None, "<p>" + "x" * (html.SLICE // 4) + "</p>", "bare"] * 20
+    out = list(html.parsed.func(iter([pa.array(pages), pa.array([], pa.string())])))
+    assert [r["status"] for part in out for r in part.to_pylist()] == ["chapters", "nothing", "paragraphs", "text"] * 20
+    assert len(out) >= 5 and all(part.nbytes <= 2 * html.SLICE for part in out)
+    gc.collect()
+    gc.disable()
+    try:
+        for page in pages:
+            html.parse(page)
+        assert not any(isinstance(x, html.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string").coalesce(1)
+    got = html.parse_pages(rows, ["page_id"]).collect()
+    for r in got:
+        status, lines = html.parse(pages[r["page_id"]])
+        assert r["status"] == status and [tuple(x) for x in r["lines"]] == lines
+    assert len(got) == len(pages)
+
+
 CONFIG = """
 [dataset]
 name = corpus
