@@ -1,10 +1,11 @@
 import gc
 import json
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brevis.operators import html, ml
+from brevis.operators import html, ml, rouge, similarity
 from brevis.plans import config, presets
 from brevis.sources import readers, writers
 
@@ -165,6 +166,33 @@ def test_preset_prompts_cache_and_modes(spark, tmp_path):
     assert presets.splits_of("train") == ("train", "val", "test")
 
 
+def test_presets_cut_documents_once(spark, capsys):
+    docs = spark.createDataFrame([(1, ["A b."], ["One two.", "Three."]), (2, ["A."], [])], "doc_id long, summary array<string>, sents array<string>")
+    for method in ("paragraph.rouge", "paragraph.bert"):
+        pairs = presets.run(docs, method)["pairs"]
+        pairs.select("doc_id", "n_segments", "n_picks", "hypo", "rouge1_fmeasure").explain()
+        assert capsys.readouterr().out.count("ArrowEvalPython [spans(") == 1
+        assert sorted((r["doc_id"], r["n_segments"], r["n_picks"], r["hypo"]) for r in pairs.collect()) == [(1, 1, 0, "<s> One two. Three."), (2, 0, 0, "<s> ")]
+
+
+def test_embedding_similarity_makes_a_vector_once(monkeypatch):
+    def slow(items):
+        vectors = [np.stack([ml.hashed_vector(t) for t in rouge.tokens(s)] or [np.zeros(ml.DIMENSIONS, np.float32)]) for s in items]
+        even = [np.full(len(v), 1 / len(v)) for v in vectors]
+        return [round(f, 6) if f == f else 0.0 for f in (similarity.weighted_f(*x) for x in zip(vectors, vectors[1:], even, even[1:]))]
+
+    items = ["The court finds the claim valid.", "...", "It cites the law of contracts and the claim.", "the the", "", "The law."]
+    want, made, own = slow(items), [], ml.hashed_vector
+    monkeypatch.setattr(ml, "hashed_vector", lambda t: made.append(t) or own(t))
+    monkeypatch.setattr(ml, "known_units", lambda u=ml.Units(): u)
+    assert presets.embedding_similarity(items * 2)[: len(want)] == want and presets.embedding_similarity([]) == []
+    assert len(made) == len(set(made))
+    few = ml.Units(most=4)  # begun anew, also amid a sentence's tokens
+    for text in items * 2:
+        got = few.of(rouge.tokens(text))
+        assert np.array_equal(got, ml.Units().of(rouge.tokens(text))) and len(few.place) <= 4 + 9
+
+
 def test_hashed_embeddings(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), ([],)], "t array<string>")
     got = [r[0] for r in df.select(ml.hashed_embeddings("t")).collect()]
