@@ -197,3 +197,27 @@ def test_hashed_embeddings(spark):
     df = spark.createDataFrame([(["a", "b", "a"],), ([],)], "t array<string>")
     got = [r[0] for r in df.select(ml.hashed_embeddings("t")).collect()]
     assert [len(x) for x in got] == [3, 0] and got[0][0] == got[0][2] != got[0][1] and len(got[0][0]) == ml.DIMENSIONS
+
+
+def test_regressor_makes_its_rows_once(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.regression import LinearRegression
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def label(i):
+        made.add(1)
+        return float(i % 3)
+
+    texts = ["The court finds it.", "It cites law, Law.", "", "Costs are shared.", "Costs of the court."] * 8
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, input_text string").withColumn("label", label("id"))
+    model = ml.train_regressor(rows, features=64)
+    assert made.value == len(texts)
+    want = Pipeline(stages=[
+        RegexTokenizer(inputCol="input_text", outputCol="_words", pattern=r"[^\p{L}0-9]+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=64),
+        IDF(inputCol="_tf", outputCol="_features"), LinearRegression(featuresCol="_features", labelCol="label", predictionCol="score", regParam=0.1)]).fit(rows)
+    got, same = ({r["id"]: round(r["score"], 6) for r in ml.regressor_scores(m, rows).collect()} for m in (model, want))
+    assert got == same and len(got) == len(texts)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
